@@ -1,0 +1 @@
+"""The engine's queries are batch queries; it has no streaming operator."""
