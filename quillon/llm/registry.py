@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.decontaminate import leaks
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
+from quillon.llm.near_dedup import near_dedup
+from quillon.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     first = F.round(F.array_min(F.col("plays.position")), 9).alias("position")
@@ -54,5 +61,21 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from n window g as (partition by body)
 """
 
-QUERIES = {"op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup}
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "best_window", "aligned")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_filter": op9_url_filter,
+}
 ORACLES = {"op6_mixing": _OP6, "op8_exact_dedup": _OP8}
