@@ -5,21 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.chunk_dedup import chunk_dedup
 from quillon.llm.decontaminate import leaks
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dedup import near_dedup
+from quillon.llm.pii import BASE, find_pii
+from quillon.llm.quality import classify_quality, training_fold
+from quillon.llm.suffix_dedup import suffix_dedup
 from quillon.llm.url_filter import filter_urls
+from quillon.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def removal_digests(found: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(suffix_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(spark, write_archives(_table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP3 = """
+with p as (select page_id, coalesce(html, '') h from pages),
+g as (select page_id, cast(strlen(h) as bigint) payload_bytes, sha1(h) payload_digest, max(page_id) over (partition by h) top from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from g
+"""
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(text(of(*BASE)), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (training_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     first = F.round(F.array_min(F.col("plays.position")), 9).alias("position")
@@ -71,11 +112,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed span, with the smallest id that has (a chunk of) it; documents that lose nothing have none."""
+    found = chunk_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.first_id", "span.start", "span.end")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_chunk_dedup": op10_chunk_dedup,
 }
-ORACLES = {"op6_mixing": _OP6, "op8_exact_dedup": _OP8}
+ORACLES = {"op3_warc": _OP3, "op6_mixing": _OP6, "op8_exact_dedup": _OP8}

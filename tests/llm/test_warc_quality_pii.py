@@ -1,0 +1,183 @@
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from quillon.llm import pii, quality, registry, warc
+
+SF = "/root/testdata/sf0.01"
+
+
+def table(name, *columns, sf=SF):
+    return [tuple(r[c] for c in columns) for r in pq.read_table(f"{sf}/{name}.parquet", columns=list(columns)).to_pylist()]
+
+
+# --- WARC
+
+
+def test_warc_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    want = con.execute(registry.ORACLES["op3_warc"]).fetchall()
+    got = registry.QUERIES["op3_warc"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_warc_round_trip(spark, monkeypatch, tmp_path, zip64):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 900)
+    rnd = random.Random(3)
+    big = "".join(rnd.choice("abcdé\r\n") for _ in range(1500))
+    long = "x" * 3_000_000 + "\r\n\r\n"
+    rows = [(1, "http://a/\n\r é", big), (2, None, big), (2, None, big), (None, "u", big), (3, "", None), (4, "u", ""), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "u", "t" * 1000), (8, "u", "t" * 1000), (9, "u", long), (None, "v", "n" * 2000), (None, "v", "n" * 2000), (-5, "w", "\r\n\r\n")]
+    df = spark.createDataFrame([(*r, 1, "p") for r in rows], "page_id long, url string, html string, sha1 int, payload string").repartition(3)
+    archives = warc.write_archives(df, f"file://{tmp_path}", zip64=zip64)
+    got = warc.read_archives(spark, archives).collect()
+    expect = []
+    for i, _, h in rows:
+        body = (h or "").encode()
+        top = max((j for j, _, g in rows if g == h and j is not None), default=None)
+        revisit = len(body) >= 1000 and top is not None and i != top
+        expect.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", top if revisit else None, None if revisit else body))
+    assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload) if r.payload is not None else None) for r in got))) == sorted(map(repr, expect))
+    paths = [r.path for r in archives.collect()]
+    assert len(paths) > 3
+    for p in paths:  # other readers open the archives too
+        with zipfile.ZipFile(p.removeprefix("file://")) as z:
+            assert z.testzip() is None and z.namelist() == [warc.RECORDS, warc.INDEX]
+    assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
+
+
+def test_zip_directories():
+    plain = io.BytesIO()
+    with zipfile.ZipFile(plain, "w") as z:
+        z.comment = b"PK about" * 50
+        z.writestr("a", b"one")
+        z.writestr("packed", b"two" * 100, zipfile.ZIP_DEFLATED)
+        with z.open("b", "w", force_zip64=True) as f:
+            f.write(b"three")
+    for data in (plain.getvalue(), b"".join(warc.zip_stored([("a", [b"o", b"ne"]), ("b", [b"three"])], zip64=True))):
+        members = warc.stored_members(lambda at, n: data[at : at + n], len(data))
+        assert {k: data[a : a + n] for k, (a, n) in members.items()} == {"a": b"one", "b": b"three"}
+    many = b"".join(warc.zip_stored([(f"m{k}", [b"%d" % k]) for k in range(70_000)]))
+    assert len(warc.stored_members(lambda at, n: many[at : at + n], len(many))) == 70_000
+    with pytest.raises(ValueError):
+        warc.stored_members(lambda at, n: b"x" * n, 100)
+
+
+# --- quality
+
+
+def test_marginals_are_those_of_all_labelings():
+    rnd = np.random.default_rng(1)
+    sizes = [1, 4, 2, 6]
+    starts = np.cumsum([0, *sizes[:-1]])
+    odds, moves = rnd.normal(size=sum(sizes)), rnd.normal(size=(2, 2))
+    p = quality.marginals(odds, starts, moves)[2]
+    for s, n in zip(starts, sizes):
+        total, good = 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = [(k >> j) & 1 for j in range(n)]
+            w = np.exp(sum(odds[s + j] * y[j] for j in range(n)) + sum(moves[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            good += w * np.array(y)
+        assert np.allclose(p[s : s + n], good / total)
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in registry.QUERIES["op5_quality"](spark, sf).collect()}
+    assert len(got) == 10_000
+    labels = [(i, q) for i, q in table("labels", "doc_id", "quality", sf=sf) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out for i, _ in labels) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    good, bad = [got[i].score for i, q in labels if q], [got[i].score for i, q in labels if not q]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.99
+    assert np.mean([got[i].predicted == q for i, q in labels]) > 0.97
+
+
+def test_quality_awkward(spark):
+    texts = [(1, None), (2, ""), (3, "\n"), (4, "Some plain words. In a line."), (4, "Some plain words. In a line."), (None, "a$$$ b### c*** d%%%"), (5, "x\n" * 100_000), (6, "w " * 200_000)]
+    docs = spark.createDataFrame([(*t, 1, "s") for t in texts], "doc_id long, text string, score int, place string")
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (77, 0)], "doc_id long, quality int")
+    got = quality.classify_quality(docs, labels).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+    none = quality.classify_quality(docs, labels.limit(0))
+    assert {r.score for r in none.collect()} == {0.5} and quality.keep_good(docs, labels.limit(0)).count() == len(texts)
+    assert quality.classify_quality(docs.limit(0), labels).count() == 0
+
+
+def test_quality_ignores_other_columns_and_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one = quality.train(docs, labels)
+    other = quality.train(docs.selectExpr("doc_id", "text", "'x' lang"), labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 5 = 0, 1 - quality, quality) quality"))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.moves, other.moves)
+
+
+# --- personal data
+
+
+def plain_base(text):
+    """The patterns as they are written."""
+    find = lambda p: [(m.start(), m.end(), m[0]) for m in re.finditer(p, text)]
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    out = [("email", a, b) for a, b, _ in find(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")]
+    out += [("ip", a, b) for a, b, s in find(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)") if all(int(p) <= 255 for p in s.split("."))]
+    out += [("card", a, b) for a, b, s in find(r"[0-9]([\x20-]?[0-9])+") if 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s))]
+    return out + [("phone", a, b) for a, b, s in find(r"\+[0-9][\x20().0-9-]+[0-9]") if 9 <= len(digits(s)) <= 15]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_base_spans_are_those_of_the_patterns(seed):
+    rnd = random.Random(seed)
+    bits = ["a@b.co", "x@y", "@", ".", "-", "1.2.3.4", "999", "25", "4111 1111 1111 1111", "+1 (555) 010-9999", "+", " ", "é", "%", "0", "..", "b-c.d@e-f.g.", "0004.3.2.01", "5500-0000-0000-0004"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_pii_on_the_table(spark):
+    got = {r.doc_id: r for r in registry.QUERIES["op4_pii"](spark, SF).collect()}
+    secrets = 0
+    for i, text in table("documents", "doc_id", "text"):
+        base, r = plain_base(text or ""), got[i]
+        names = [f"{k}:{a}:{b}" for k, a, b in base]
+        count = Counter(k for k, *_ in base)
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [count[k] for k in pii.BASE]
+        spans = r.spans.split(",") if r.spans else []
+        assert spans[: len(names)] == names
+        tokens = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', text)}
+        secrets += len(tokens)
+        assert tokens <= set(spans) and len(spans) <= len(names) + len(tokens)
+    assert secrets > 5
+
+
+def test_pii_awkward(spark):
+    long = "a" * 300_000 + "1" * 300_000 + "@" * 1000 + "1." * 100_000
+    texts = [(1, None), (2, ""), (3, "me@a.bc"), (3, "me@a.bc"), (None, "é 1.2.3.4"), (4, long), (5, "+1-" * 2000), (6, 'key = "00ff' + "a1" * 14 + '"')]
+    df = spark.createDataFrame([(*t, 1, "s") for t in texts], "doc_id long, text string, spans int, kind string")
+    got = pii.find_pii(df).collect()
+    assert sorted(repr((r.doc_id, [tuple(s) for s in r.spans if s.kind in pii.BASE])) for r in got) == sorted(repr((i, pii.base_spans(t or ""))) for i, t in texts)
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_reliabilities_find_the_better_labeler():
+    rnd = random.Random(1)
+    counts, truth = Counter(), {}
+    for _ in range(4000):
+        t = rnd.random() < 0.3
+        v = tuple((1 if t else -1) if rnd.random() < good else (-1 if t else 1) for good in (0.95, 0.9, 0.85, 0.55))
+        counts[v] += 1
+        truth.setdefault(v, []).append(t)
+    p = pii.reliabilities(counts)
+    assert sum(abs(p[v] - np.mean(t)) * len(t) for v, t in truth.items()) / 4000 < 0.05
