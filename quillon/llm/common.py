@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed by the contracts: white space, and a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,8 +51,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table that no result reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def row_hash(docs: DataFrame, *without: str) -> Column:
+    """A hash of a row, for an order among rows that are alike otherwise; maps, which Spark does not hash, are left out."""
+    return F.xxhash64(*(named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name not in without))
+
+
+def matching_rows(docs: DataFrame, id_col: str, text_col: str, own: Column, keys: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose id and key ``own`` stand in ``keys`` (id, key, once).
+
+    Of rows that agree in both only one stays where ``once`` is true. Documents
+    are shuffled once, by key; rows of an id that many rows share part by key.
+    """
+    mine, its, key, once, turn = (fresh(n, docs.columns) for n in ("mine", "its", "key", "once", "turn"))
+    found = docs.withColumn(mine, own).join(keys.toDF(its, key, once), (F.col(mine) == F.col(key)) & named(id_col).eqNullSafe(F.col(its)))
+    alike = Window.partitionBy(key, its).orderBy(row_hash(docs, text_col))
+    found = found.withColumn(turn, F.row_number().over(alike)).where((F.col(turn) == 1) | ~F.col(once))
+    return found.select(*map(named, docs.columns))

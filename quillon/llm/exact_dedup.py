@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import SPACE, fresh, named
+from quillon.llm.common import SPACE, matching_rows, named
 
 
 def normalised(text: Column) -> Column:
@@ -61,11 +60,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of repeated rows the one with the smallest hash over all its columns stays,
     so reruns agree.
     """
-    key, sha, turn = (fresh(n, docs.columns) for n in ("key_id", "key_sha", "turn"))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(sha))
-    own = fresh("own_sha", docs.columns)
-    rows = docs.withColumn(own, F.unhex(F.sha2(normalised(named(text_col)), 256)))
-    found = rows.join(kept, named(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)))
-    plain = [named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name != text_col]
-    first = Window.partitionBy(key, sha).orderBy(F.xxhash64(*plain))
-    return found.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).select(*map(named, docs.columns))
+    kept = exact_dedup(docs, id_col, text_col).where("kept")
+    own = F.xxhash64(named(id_col), F.sha2(normalised(named(text_col)), 256))
+    return matching_rows(docs, id_col, text_col, own, kept.select("doc_id", F.xxhash64("doc_id", "text_sha256"), F.lit(True)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import WORD, fresh, named, written
+from quillon.llm.common import WORD, fresh, named, row_hash, written
 
 #: (time, weight) knots, straight between them. The mean weight over 0..1 is the source's weight.
 Schedule = Sequence[tuple[float, float]]
@@ -153,15 +153,15 @@ def training_order(docs: DataFrame, **how) -> DataFrame:
     of the n.
     """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    key, copy, row_key, at = (fresh(n, docs.columns) for n in ("m_id", "m_copy", "m_key", "m_plays"))
-    own_copy, own_key = fresh("own_copy", docs.columns), fresh("own_key", docs.columns)
+    key, copy, at = (fresh(n, docs.columns) for n in ("m_key", "m_copy", "m_plays"))
+    own_key, own_copy = fresh("own_key", docs.columns), fresh("own_copy", docs.columns)
     position, words = fresh("position", docs.columns), fresh("taken_words", docs.columns)
-    mixed = mix_sources(docs, **how).select(F.col("doc_id").alias(key), F.col("row_key").alias(row_key), F.col("plays").alias(at))
-    mixed = mixed.withColumn(copy, F.row_number().over(Window.partitionBy(key, row_key).orderBy(at))).where(F.size(at) > 0)
+    numbered = F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id", "plays"))
+    mixed = mix_sources(docs, **how).select("row_key", numbered.alias("copy"), "plays").where(F.size("plays") > 0).toDF(key, copy, at)
     rows = docs.withColumn(own_key, F.xxhash64(named(id_col), named(text_col)))
-    plain = [named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name != text_col]
-    rows = rows.withColumn(own_copy, F.row_number().over(Window.partitionBy(id_col, own_key).orderBy(F.xxhash64(*plain))))
-    found = rows.join(mixed, named(id_col).eqNullSafe(F.col(key)) & (F.col(own_key) == F.col(row_key)) & (F.col(own_copy) == F.col(copy)))
-    out = found.select(*map(named, docs.columns), F.explode(at).alias(at))
+    rows = rows.withColumn(own_copy, F.row_number().over(Window.partitionBy(own_key).orderBy(named(id_col), row_hash(docs, text_col))))
+    # two inequalities, as an equality would be a join key too and shuffle the documents again
+    same = (F.col(own_key) == F.col(key)) & (F.col(own_copy) <= F.col(copy)) & (F.col(own_copy) >= F.col(copy))
+    out = rows.join(mixed, same).select(*map(named, docs.columns), F.explode(at).alias(at))
     out = out.select(*map(named, docs.columns), F.col(at)["position"].alias(position), F.col(at)["words"].alias(words))
-    return out.orderBy(position, id_col)
+    return out.orderBy(named(position), named(id_col))

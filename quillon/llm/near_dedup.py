@@ -17,9 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quillon.llm.common import fresh, named, written
+from quillon.llm.common import matching_rows, named, written
 from quillon.llm.graph import components
 
 SHINGLE = 5
@@ -262,10 +261,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = F.col("component").isNull()
     kept = rows.where(~alone).groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key", F.lit(True).alias("single"))
     kept = kept.unionByName(rows.where(alone).select("doc_id", "text_key", F.lit(False).alias("single")).distinct())
-    key, text_key, single, own, turn = (fresh(n, docs.columns) for n in ("n_id", "n_key", "n_single", "n_own", "n_turn"))
-    kept = kept.toDF(key, text_key, single)
-    found = docs.withColumn(own, F.xxhash64(named(id_col), named(text_col))).join(kept, named(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(text_key)))
-    plain = [named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name != text_col]
-    first = Window.partitionBy(key, text_key).orderBy(F.xxhash64(*plain))
-    found = found.withColumn(turn, F.row_number().over(first)).where((F.col(turn) == 1) | ~F.col(single))
-    return found.select(*map(named, docs.columns))
+    return matching_rows(docs, id_col, text_col, F.xxhash64(named(id_col), named(text_col)), kept)

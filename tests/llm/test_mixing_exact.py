@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.llm import registry
 from quillon.llm.exact_dedup import drop_exact_copies, exact_dedup
 from quillon.llm.mixing import SCHEDULES, integral, mix_sources, source_targets, training_order
+from tests_llm_brute import brute_targets
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, `key` string, size int, `a.b` int"
@@ -55,21 +56,6 @@ def test_empty(spark):
     assert exact_dedup(none).count() == drop_exact_copies(none).count() == mix_sources(none).count() == training_order(none).count() == 0
 
 
-def brute_targets(sizes, weights, budget=1.5, epochs=2):
-    order = sorted(sizes, key=lambda s: (s is None, s))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target, left, open_ = {}, budget * sum(sizes.values()), set(order)
-    while open_:
-        level = left / sum(w[s] for s in open_)
-        over = {s for s in open_ if level * w[s] > epochs * sizes[s]}
-        if not over:
-            return target | {s: level * w[s] for s in open_}
-        target |= {s: float(epochs * sizes[s]) for s in over}
-        left -= sum(epochs * sizes[s] for s in over)
-        open_ -= over
-    return target
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_targets(spark, seed):
     rnd = random.Random(seed)

@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -8,37 +7,7 @@ import pytest
 from quillon.llm import near_dedup as nd
 from quillon.llm import registry
 from quillon.llm.graph import components
-
-
-def shingles(t):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
-def brute(docs):
-    """doc_id -> (shingles, component), through an inverted index of all shingles."""
-    sets = [shingles(t) for _, t in docs]
-    where, parent = {}, list(range(len(docs)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for k, s in enumerate(sets):
-        common = {}
-        for x in s:
-            for j in where.setdefault(x, []):
-                common[j] = common.get(j, 0) + 1
-            where[x].append(k)
-        for j, c in common.items():
-            if 100 * c >= 85 * (len(s) + len(sets[j]) - c):
-                parent[find(k)] = find(j)
-    low = {}
-    for k, (i, _) in enumerate(docs):
-        low[find(k)] = min((x for x in (i, low.get(find(k))) if x is not None), default=None)
-    return [(i, len(sets[k]), low[find(k)], i == low[find(k)]) for k, (i, _) in enumerate(docs)]
+from tests_llm_brute import brute_near as brute
 
 
 def same(got, want):

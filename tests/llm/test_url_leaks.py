@@ -9,8 +9,9 @@ import pyarrow.parquet as pq
 import pytest
 
 from quillon.llm import decontaminate, registry, url_filter
-from quillon.llm.decontaminate import EQUAL, LEAST_ITEM, MASKS, WINDOW, drop_leaks, leaks
+from quillon.llm.decontaminate import EQUAL, MASKS, WINDOW, drop_leaks, leaks
 from quillon.llm.url_filter import ORDER, PRIOR, RULES, SYMBOLS, filter_urls
+from tests_llm_brute import brute_leaks
 
 
 def brute_urls(rows):
@@ -93,27 +94,6 @@ def test_masks_miss_nothing():
         assert any(all(p + o not in wrong for o in m) for m in MASKS for p in range(WINDOW - m[-1]))
 
 
-def words(t):
-    return re.findall(r"[^\W_]+", (t or "").lower())
-
-
-def brute_leaks(docs, items):
-    out = set()
-    parsed = [(j, words(t)) for j, t in items]
-    for i, t in docs:
-        x = words(t)
-        for j, y in parsed:
-            n = len(y)
-            width, need = min(WINDOW, n), EQUAL if n >= WINDOW else n
-            if n < LEAST_ITEM:
-                continue
-            for d in range(width - n, len(x) - width + 1):
-                same = [x[k + d] == y[k] for k in range(max(0, -d), min(n, len(x) - d))]
-                if sum(same) >= need and any(sum(same[s : s + width]) >= need for s in range(len(same) - width + 1)):
-                    out.add((i, j))
-    return out
-
-
 def test_leaks_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     read = lambda t, c: [(r[c], r["text"]) for r in pq.read_table(f"{sf}/{t}.parquet").to_pylist()]
