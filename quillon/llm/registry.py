@@ -34,6 +34,21 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+_OP2 = r"""
+with recursive w as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as reached from documents union select r.doc_id, e.b from r join e on r.reached = e.a),
+c as (select doc_id, min(reached) component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c on d.doc_id = c.doc_id left join n on d.doc_id = n.doc_id
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(spark, write_archives(_table(spark, sf_dir, "pages")), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -108,8 +123,58 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "best_window", "aligned")
 
 
+_OP7 = r"""
+with d as (select distinct doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
+b as (select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') v from benchmark),
+i as (select item_id, len(v) n, unnest(v) token, unnest(range(len(v))) as pos from b where len(v) >= 8),
+t as (select doc_id, len(w) m, unnest(w) token, unnest(range(len(w))) as pos from d),
+h as (select doc_id, item_id, n, m, t.pos - i.pos as diagonal, i.pos as pos from t join i on t.token = i.token),
+g as (select * from h qualify count(*) over (partition by doc_id, item_id, diagonal) >= least(n, 13)
+      and least(n, m - diagonal) - greatest(0, -diagonal) >= least(n, 16)),
+k as (select doc_id, item_id, n, diagonal, count(*) over (partition by doc_id, item_id, diagonal order by pos range between 15 preceding and current row) best,
+             count(*) over (partition by doc_id, item_id, diagonal) aligned from g),
+q as (select doc_id, item_id, n, diagonal, max(best) best_window, max(aligned) aligned from k group by doc_id, item_id, n, diagonal)
+select doc_id, item_id, cast(best_window as int) best_window, cast(aligned as int) aligned from q
+where best_window >= case when n < 16 then n else 13 end
+qualify row_number() over (partition by doc_id, item_id order by best_window desc, aligned desc) = 1
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    return filter_urls(_table(spark, sf_dir, "pages")).drop("score")
+
+
+_OP9 = r"""
+with r as (select page_id, url,
+             translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') h,
+             regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) p,
+             regexp_replace(regexp_replace(regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s)^.*?://', ''), '[0-9]', '0', 'g'), '[^a-z0./_?=&#:-]', '*', 'g') form
+      from pages),
+u as (select page_id, coalesce(h, '') host, coalesce(p, '') path, form from r),
+f as (select *, case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+                     when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+                     when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+                     when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end rule from u),
+v as (select *, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end ruled from f),
+z as (select *, ('0x' || substr(md5(form), 1, 4))::int % 5 = 0 held_out from v),
+c as (select g, count(*) filter (ruled = 'allow' and not held_out) a, count(*) filter (ruled = 'block' and not held_out) b
+      from (select ruled, held_out, unnest(list_transform(range(1, len(form) + 2), lambda i: substr('^^^' || form || '$', i, 4))) g from z) group by g),
+o0 as (select g, a, b, (sum(a) over (partition by substr(g, 4, 1)) + 4.0::double * (1.0::double / 38)) / (sum(a) over () + 4.0::double) pa,
+                       (sum(b) over (partition by substr(g, 4, 1)) + 4.0::double * (1.0::double / 38)) / (sum(b) over () + 4.0::double) pb from c),
+o1 as (select g, a, b, (sum(a) over (partition by substr(g, 3, 2)) + 4.0::double * pa) / (sum(a) over (partition by substr(g, 3, 1)) + 4.0::double) pa,
+                       (sum(b) over (partition by substr(g, 3, 2)) + 4.0::double * pb) / (sum(b) over (partition by substr(g, 3, 1)) + 4.0::double) pb from o0),
+o2 as (select g, a, b, (sum(a) over (partition by substr(g, 2, 3)) + 4.0::double * pa) / (sum(a) over (partition by substr(g, 2, 2)) + 4.0::double) pa,
+                       (sum(b) over (partition by substr(g, 2, 3)) + 4.0::double * pb) / (sum(b) over (partition by substr(g, 2, 2)) + 4.0::double) pb from o1),
+o3 as (select g, (a + 4.0::double * pa) / (sum(a) over (partition by substr(g, 1, 3)) + 4.0::double) pa,
+                 (b + 4.0::double * pb) / (sum(b) over (partition by substr(g, 1, 3)) + 4.0::double) pb from o2),
+k as (select g, round((ln(pa) - ln(pb)) * 1e6) ratio from o3),
+s as (select form, sum(ratio) / count(*) / 1e6 mean from (select form, unnest(list_transform(range(1, len(form) + 2), lambda i: substr('^^^' || form || '$', i, 4))) g from (select distinct form from z)) join k using (g) group by form),
+m as (select count(*) filter (ruled = 'allow') n, avg(mean) filter (ruled = 'allow') x, sqrt(greatest(avg(mean * mean) filter (ruled = 'allow') - (avg(mean) filter (ruled = 'allow')) ** 2, 0)) + 1e-9 dx,
+             count(*) filter (ruled = 'block') nb, avg(mean) filter (ruled = 'block') y, sqrt(greatest(avg(mean * mean) filter (ruled = 'block') - (avg(mean) filter (ruled = 'block')) ** 2, 0)) + 1e-9 dy
+      from z join s using (form) where held_out),
+t as (select case when n > 0 and nb > 0 then round((x * dy + y * dx) / (dx + dy), 9) else 0 end bar from m)
+select page_id, host, path, rule, coalesce(ruled, case when mean - bar >= 0 then 'allow' else 'block' end) verdict from z join s using (form), t
+"""
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,4 +195,11 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_chunk_dedup": op10_chunk_dedup,
 }
-ORACLES = {"op3_warc": _OP3, "op6_mixing": _OP6, "op8_exact_dedup": _OP8}
+ORACLES = {
+    "op2_near_dedup": _OP2,
+    "op3_warc": _OP3,
+    "op6_mixing": _OP6,
+    "op7_decontaminate": _OP7,
+    "op8_exact_dedup": _OP8,
+    "op9_url_filter": _OP9,
+}

@@ -1,15 +1,12 @@
 import random
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import registry
 from quillon.llm.exact_dedup import drop_exact_copies, exact_dedup
 from quillon.llm.mixing import SCHEDULES, integral, mix_sources, source_targets, training_order
 from tests_llm_brute import brute_targets
 
-SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, `key` string, size int, `a.b` int"
 
 
@@ -23,17 +20,6 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("name", ["op6_mixing", "op8_exact_dedup"])
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_sql(spark, name, sf):
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
-    out = con.execute(registry.ORACLES[name])
-    want = [dict(zip([d[0] for d in out.description], r)) for r in out.fetchall()]
-    got = [r.asDict() for r in registry.QUERIES[name](spark, f"/root/testdata/{sf}").collect()]
-    assert sorted(map(repr, (sorted(x.items()) for x in got))) == sorted(map(repr, (sorted(x.items()) for x in want)))
-
-
 @pytest.mark.parametrize("digest", [None, lambda body: F.substring(F.md5(body), 1, 1)])
 def test_exact_awkward(spark, digest):
     """With a digest of 16 values too: texts that collide are told apart by their bytes."""

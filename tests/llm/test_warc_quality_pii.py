@@ -6,7 +6,6 @@ import zipfile
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -23,14 +22,6 @@ def table(name, *columns, sf=SF):
 # --- WARC
 
 
-def test_warc_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
-    want = con.execute(registry.ORACLES["op3_warc"]).fetchall()
-    got = registry.QUERIES["op3_warc"](spark, SF).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-
-
 @pytest.mark.parametrize("zip64", [False, True])
 def test_warc_round_trip(spark, monkeypatch, tmp_path, zip64):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 900)
