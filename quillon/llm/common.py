@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -31,19 +35,26 @@ def fresh(base: str, taken: Iterable[str]) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where the driver and all executors can write and read.
 
-    It lies in ``spark.checkpoint.dir``. Where that is unset and the master is
-    local, as in tests, a temporary folder is set; on a cluster it is an error.
+    It lies in ``spark.checkpoint.dir``. Where that is unset and Spark runs in
+    this one process, as in tests, it lies in a temporary folder that goes with
+    the process; on a cluster it is an error.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*)?", conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _temporary_folder()
     return f"{root.rstrip('/')}/quillon/{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _temporary_folder() -> str:
+    path = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows by way of a Parquet table in the shared folder: made once, and safe when executors go."""
     path = f"{shared_folder(df.sparkSession)}/table"
