@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from quillon.sources.row_blocks import read_row_blocks
 
 
 class Catalog:
@@ -17,6 +21,28 @@ class Catalog:
     def __init__(self, spark: SparkSession, path: str | None = None, tables: Mapping[str, DataFrame] | None = None):
         self._spark, self._path, self._tables = spark, path, dict(tables or {})
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: str | dict) -> Catalog:
+        """Tables of a JSON config: ``{"tables": [{"name", "path", "format"?, "columns"?, "block_size"?}]}``.
+
+        ``format`` is ``parquet`` (the default) or ``row_blocks``. ``columns`` are
+        ``{"name", "type"}`` with Spark's type names; Parquet needs none, and
+        with them reads those columns only, in that order.
+        """
+        tables = {}
+        for t in (json.loads(config) if isinstance(config, str) else config)["tables"]:
+            columns = T.StructType()
+            for c in t.get("columns", ()):
+                columns.add(c["name"], T.DataType.fromDDL(c["type"]))
+            if t.get("format", "parquet") == "row_blocks":
+                tables[t["name"]] = read_row_blocks(spark, t["path"], columns, t["block_size"])
+            elif t.get("format", "parquet") == "parquet":
+                reader = spark.read.schema(columns) if len(columns) else spark.read
+                tables[t["name"]] = reader.parquet(t["path"])
+            else:
+                raise ValueError(f"unknown format {t['format']!r} of table {t['name']!r}")
+        return cls(spark, tables=tables)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             if self._path is None:
