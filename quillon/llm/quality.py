@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is that of the smallest id hashes. Documents over TRAIN_CHARS
     characters are not learnt from. Only bins of features come to the driver.
     Null labels and null ids are skipped; an id that occurs or is labelled
-    several times counts as often. Without any label, every text scores 0.5.
+    several times counts as often, within the bound. Without any label, every text scores 0.5.
     """
     sample = (
         labels.select(named(id_col).alias("l_id"), named(label_col).cast("int").alias("good"))
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [line_codes(t.as_py())[0].tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["place", "good", "codes"])
 
-    found = sorted(map(tuple, rows.mapInArrow(codes, "place long, good int, codes binary").collect()))[:TRAIN_DOCS]
+    found = rows.mapInArrow(codes, "place long, good int, codes binary").orderBy("place", "good", "codes").limit(TRAIN_DOCS).collect()
     chains = [np.frombuffer(c, np.uint8).reshape(-1, len(FEATURES)) for _, _, c in found]
     if not chains:
         return Model(np.zeros(CODES), np.zeros((2, 2)))
