@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import written
-from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, runs, together, unmask
+from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, runs, together, unmask
 
 #: A cut where the hash has so many leading zero bits: every 16 bytes on average, but no chunk under LEAST bytes (a document's last excepted) or over MOST.
 ZERO_BITS, LEAST, MOST = 4, 16, 256
@@ -187,14 +187,13 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     release(spark)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, ids, sizes, body, masks in zip(*(c.to_pylist() for c in batch.columns)):
-                _, _, rows = entries(Pack(ids, sizes, body), ranges, masks)
-                if not len(rows):
-                    continue
-                parts, ends = range_bounds(rows["key"], ranges)
-                blobs = [rows[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "entries"])
+        for pack, ids, sizes, body, masks in rows_of(batches):
+            _, _, rows = entries(Pack(ids, sizes, body), ranges, masks)
+            if not len(rows):
+                continue
+            parts, ends = range_bounds(rows["key"], ranges)
+            blobs = [rows[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "entries"])
 
     masked = packs.join(found, "pack").select("pack", "ids", "sizes", "body", "found")
     rows = masked.mapInArrow(emit, "part long, pack long, entries binary")
@@ -203,9 +202,8 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sizes, body, masks, lows in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _without(Pack(ids, sizes, body), ranges, masks, lows)
+        for ids, sizes, body, masks, lows in rows_of(batches):
+            yield _without(Pack(ids, sizes, body), ranges, masks, lows)
 
     known = found.join(results, "pack", "left")
     all_ = packs.join(known, "pack", "left").select("ids", "sizes", "body", "found", "results")

@@ -21,7 +21,7 @@ from quillon.llm.common import named, written
 #: A pack is closed when it has so many bytes or documents; one longer document is a pack of its own.
 PACK_BYTES, PACK_DOCS = 4 << 20, 20_000
 #: A key range is compared in one go; there is one for so many bytes of text.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Null ids stand after all others.
 NULL_ID = np.iinfo(np.int64).max
 #: Bytes of a key that the presence step moves. Keys that agree in these only cost a comparison later.
@@ -81,16 +81,22 @@ def range_bounds(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]
     return at[first].astype(np.int64), np.append(first, len(keys))
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one, so that only one large value at a time is copied."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows with the same first column, which come together; the key and the other columns."""
     key, rows = None, []
-    for batch in batches:
-        for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if k != key and rows:
-                yield key, rows
-                rows = []
-            key = k
-            rows.append(tuple(row))
+    for k, *row in rows_of(batches):
+        if k != key and rows:
+            yield key, rows
+            rows = []
+        key = k
+        rows.append(tuple(row))
     if rows:
         yield key, rows
 
@@ -115,53 +121,50 @@ def _long(short: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per key range: which keys two packs have, or one pack in two documents."""
-    for part, rows in runs(batches):
-        keys = np.concatenate([_long(k) for _, k, _ in rows])
-        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // SHORT) for _, k, m in rows]).astype(bool)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        twice |= several
-        ends = np.cumsum([len(k) // SHORT for _, k, _ in rows])
-        masks = [np.packbits(twice[e - len(k) // SHORT : e]).tobytes() for e, (_, k, _) in zip(ends, rows)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, *_ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(masks, pa.binary())], ["pack", "part", "mask"]
-        )
-
-
-def repeated_keys(packs: DataFrame, ranges: int, keys_of: Callable[[Pack], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def repeated_keys(packs: DataFrame, ranges: int, keys_of: Callable[[Pack], tuple[np.ndarray, np.ndarray]], hot_packs: int = 1 << 30) -> DataFrame:
     """``pack, found``: bit masks over the pack's sorted distinct keys, by key range.
 
-    ``keys_of`` gives those keys, and which of them several documents of the
-    pack have; it must give the same whenever it is asked.
+    ``again`` marks keys that two packs have, or one pack in two documents;
+    ``hot`` those that more than ``hot_packs`` packs have. ``keys_of`` gives the
+    keys, and which of them several documents of the pack have; it must give the
+    same whenever it is asked.
     """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, ids, sizes, body in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, several = keys_of(Pack(ids, sizes, body))
-                if not len(keys):
-                    continue
-                parts, ends = range_bounds(keys, ranges)
-                cut = list(zip(ends, ends[1:]))
-                columns = [
-                    pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()),
-                    pa.array([_short(keys[a:b]) for a, b in cut], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cut], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "keys", "several"])
+        for pack, ids, sizes, body in rows_of(batches):
+            keys, several = keys_of(Pack(ids, sizes, body))
+            if not len(keys):
+                continue
+            parts, ends = range_bounds(keys, ranges)
+            cut = list(zip(ends, ends[1:]))
+            columns = [
+                pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()),
+                pa.array([_short(keys[a:b]) for a, b in cut], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cut], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "keys", "several"])
+
+    def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in runs(batches):
+            keys = np.concatenate([_long(k) for _, k, _ in rows])
+            several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // SHORT) for _, k, m in rows]).astype(bool)
+            order = np.argsort(keys, kind="stable")
+            begins = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+            count = np.empty(len(keys), np.int64)
+            size = np.diff(np.append(begins, len(keys)))
+            count[order] = np.repeat(size, size)
+            ends = np.cumsum([len(k) // SHORT for _, k, _ in rows])
+            masks = [[np.packbits(x[e - len(k) // SHORT : e]).tobytes() for e, (_, k, _) in zip(ends, rows)] for x in ((count > 1) | several, count > hot_packs)]
+            columns = [pa.array([p for p, *_ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array(m, pa.binary()) for m in masks)]
+            yield pa.RecordBatch.from_arrays(columns, ["pack", "part", "again", "hot"])
 
     rows = packs.select("pack", "ids", "sizes", "body").mapInArrow(emit, "part long, pack long, keys binary, several binary")
-    masks = together(rows, "part").mapInArrow(_present, "pack long, part long, mask binary")
-    return written(masks.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("part", "mask"))).alias("found")))
+    masks = together(rows, "part").mapInArrow(present, "pack long, part long, again binary, hot binary")
+    return written(masks.groupBy("pack").agg(F.collect_list(F.struct("part", "again", "hot")).alias("found")))
 
 
-def unmask(keys: np.ndarray, ranges: int, found: list[dict]) -> np.ndarray:
-    """The masks of :func:`repeated_keys` as one boolean for each key."""
+def unmask(keys: np.ndarray, ranges: int, found: list[dict], which: str = "again") -> np.ndarray:
+    """A mask of :func:`repeated_keys` as one boolean for each key."""
     parts, ends = range_bounds(keys, ranges)
-    masks = {f["part"]: f["mask"] for f in found}
+    masks = {f["part"]: f[which] for f in found}
     pieces = [np.unpackbits(np.frombuffer(masks[p], np.uint8), count=b - a) for p, a, b in zip(parts.tolist(), ends, ends[1:])]
     return np.concatenate(pieces).astype(bool) if pieces else np.zeros(0, bool)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import written
-from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, runs, together, unmask
+from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, runs, together, unmask
 from quillon.llm.suffix_sort import deep_shallow
 
 #: Fixed by the contract.
@@ -25,17 +25,21 @@ GRAM = 20
 #: Windows start at most SPREAD - 1 bytes before their anchor, so a context has at most CONTEXT bytes: ten words of eight.
 SPREAD = WIDTH - GRAM + 1
 CONTEXT = WIDTH + SPREAD - 1
+#: Contexts of a key that more packs have are sent window by window, dealt by the windows' own hashes, so that no task gets them all.
+HOT_PACKS = 500
+#: About so many suffixes are sorted at once.
+SORT_WINDOWS = 50_000
 #: Bytes hashed at once, for the sake of the processor's cache.
 SLICE = 1 << 17
 
 _A = 0x9E3779B97F4A7C15
 _POWER = {k: np.uint64(pow(_A, k, 1 << 64)) for k in (1, 2, 4, 8)}
-_ENTRY = np.dtype([("key", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "u1")])
+_ENTRY = np.dtype([("key", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "u1"), ("lead", "u1")])
 _RUN = np.dtype([("entry", "<u4"), ("first", "u1"), ("last", "u1"), ("low", "<i8")])
 
 
-def anchors(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first and last window start of each anchor. Windows are those within one document; equal windows have equal keys and lie equally around their anchor."""
+def anchors(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, position, first and last window start of each anchor. Windows are those within one document; equal windows have equal keys and lie equally around their anchor."""
     data = pack.bytes
     inside = np.ones(len(data) + 1, bool)
     for a, b in zip(pack.starts, pack.starts[1:]):
@@ -69,16 +73,16 @@ def anchors(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last.append(end + s)
     if not keys:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     keys, at, first, last = map(np.concatenate, (keys, at, first, last))
     # a run that a slice's end cut in two
     new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (first[1:] != last[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
-    return keys[new], first[new], last[np.append(new[1:], len(at)) - 1] if len(at) else last
+    return keys[new], at[new], first[new], last[np.append(new[1:], len(at)) - 1] if len(at) else last
 
 
 def anchor_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and which of them several documents have."""
-    keys, first, _ = anchors(pack)
+    keys, _, first, _ = anchors(pack)
     doc = pack.doc_at(first)
     order = np.lexsort((doc, keys))
     keys, doc = keys[order], doc[order]
@@ -90,41 +94,60 @@ def anchor_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """CONTEXT bytes from each start, zero beyond its size, as words. ``flat`` goes on for CONTEXT bytes behind the last."""
-    got = flat[starts[:, None] + np.arange(CONTEXT)]
+    got = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT)[starts]
     got[np.arange(CONTEXT) >= sizes[:, None]] = 0
     return got.view(np.uint64)
 
 
-def _equal_runs(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _equal_runs(keys: np.ndarray, sizes: np.ndarray, leads: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key in which equal contexts are neighbours, and where each distinct one begins in it."""
-    mark = sizes.astype(np.uint64)
+    shape = sizes.astype(np.uint64) * np.uint64(256) + leads
+    mark = shape.copy()
     for k in range(words.shape[1]):
         mark = (mark ^ words[:, k]) * np.uint64(_A)
         mark ^= mark >> np.uint64(29)
     order = np.lexsort((mark, keys))
-    k, s, w = keys[order], sizes[order], words[order]
+    k, s, w = keys[order], shape[order], words[order]
     new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (w[1:] != w[:-1]).any(axis=1)) if len(k) else np.zeros(0, bool)
     return order, np.flatnonzero(new)
 
 
 class Entries:
-    """The pack's distinct contexts of repeated anchors, in order, with the occurrences of each."""
+    """The pack's distinct contexts of repeated anchors, in order, with the occurrences of each.
+
+    The contexts of hot anchors are their single windows, each under a key that
+    hashes the window.
+    """
 
     def __init__(self, pack: Pack, ranges: int, found: list[dict]):
-        keys, first, last = anchors(pack)
+        keys, at, first, last = anchors(pack)
         distinct = np.unique(keys)
-        again = unmask(distinct, ranges, found)[np.searchsorted(distinct, keys)] if len(keys) else np.zeros(0, bool)
-        keys, first, last = keys[again], first[again], last[again]
+        where = np.searchsorted(distinct, keys)
+        none = np.zeros(0, bool)
+        again = unmask(distinct, ranges, found)[where] if len(keys) else none
+        hot = unmask(distinct, ranges, found, "hot")[where][again] if len(keys) else none
+        keys, at, first, last = keys[again], at[again], first[again], last[again]
+        flat = np.append(pack.bytes, np.zeros(CONTEXT, np.uint8))
         sizes = (last - first + WIDTH).astype(np.uint8)
-        self.flat = np.append(pack.bytes, np.zeros(CONTEXT, np.uint8))
-        words = _contexts(self.flat, first, sizes)
-        order, self.begins = _equal_runs(keys, sizes, words)
+        leads = (at - first).astype(np.uint8)
+        if hot.any():
+            row, start = spread(first[hot], (last - first + 1)[hot])
+            size = np.full(len(row), WIDTH, np.uint8)
+            key = keys[hot][row]
+            for w in _contexts(flat, start, size).T:
+                key = (key ^ w) * np.uint64(_A)
+                key ^= key >> np.uint64(32)
+            keep = ~hot
+            first, sizes = np.append(first[keep], start), np.append(sizes[keep], size)
+            keys, leads = np.append(keys[keep], key), np.append(leads[keep], (at[hot][row] - start).astype(np.uint8))
+        words = _contexts(flat, first, sizes)
+        order, self.begins = _equal_runs(keys, sizes, leads, words)
         self.starts = first[order]  # of each occurrence
         self.ids = pack.order[pack.doc_at(self.starts)]
         one = order[self.begins]
         self.keys, self.sizes = keys[one], sizes[one]
         self.rows = np.zeros(len(one), _ENTRY)
-        self.rows["key"], self.rows["size"] = self.keys, self.sizes
+        self.rows["key"], self.rows["size"], self.rows["lead"] = self.keys, self.sizes, leads[one]
         if len(one):
             self.rows["low"], self.rows["high"] = np.minimum.reduceat(self.ids, self.begins), np.maximum.reduceat(self.ids, self.begins)
         self._bytes, self._of = words.view(np.uint8), one
@@ -144,24 +167,39 @@ def _smallest(rows: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """For entries of one key range: runs of windows, each with the smallest id that has them, where an id of the entry is larger."""
     sizes = rows["size"].astype(np.int64)
     offsets = np.cumsum(sizes) - sizes
-    order, begins = _equal_runs(rows["key"], sizes, _contexts(flat, offsets, sizes))
+    order, begins = _equal_runs(rows["key"], sizes, rows["lead"], _contexts(flat, offsets, sizes))
     one = order[begins]  # an entry for each distinct context
     low = np.minimum.reduceat(rows["low"][order], begins)
-    windows = sizes[one] - WIDTH + 1
+    windows, lead = sizes[one] - WIDTH + 1, rows["lead"][one].astype(np.int64)
     key = rows["key"][one]
     alone = np.append(True, key[1:] != key[:-1]) & np.append(key[1:] != key[:-1], True)
-    of, at = spread(np.zeros(len(one), np.int64), np.where(alone, 1, windows))
-    value = low[of]
-    mixed = np.flatnonzero(~alone[of])  # windows of keys with several contexts: these suffixes are sorted
-    if len(mixed):
-        by, same = deep_shallow(flat, offsets[one][of[mixed]] + at[mixed], WIDTH)
-        heads = np.flatnonzero(~same)
-        least = np.minimum.reduceat(value[mixed][by], heads)
-        value[mixed[by]] = np.repeat(least, np.diff(np.append(heads, len(by))))
-    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1])))
-    run_of, run_first, run_low = of[new], at[new], value[new]
-    run_last = np.append(at[new[1:] - 1], at[-1:])
-    run_last = np.where(alone[run_of], windows[run_of] - 1, run_last)
+    # contexts of keys that have several: their windows are the suffixes to sort. Equal windows have one key and lie equally
+    # around it, so some keys at a time are sorted, and of those the windows in one place around the key
+    several = np.flatnonzero(~alone)
+    value = np.repeat(low[several][:, None], SPREAD, axis=1)  # the smallest id of each window
+    new_key = np.flatnonzero(np.append(True, key[several][1:] != key[several][:-1])) if len(several) else several
+    steps = new_key[np.flatnonzero(np.diff(new_key // SORT_WINDOWS, prepend=-1))]
+    for chunk in np.split(np.arange(len(several)), steps[1:]) if len(several) else []:
+        for around in range(SPREAD):
+            at = lead[several[chunk]] - around
+            ok = (at >= 0) & (at < windows[several[chunk]])
+            row, at = chunk[ok], at[ok]
+            if len(row) < 2:
+                continue
+            by, same = deep_shallow(flat, offsets[one][several[row]] + at, WIDTH)
+            heads = np.flatnonzero(~same)
+            least = np.minimum.reduceat(low[several[row]][by], heads)
+            value[row[by], at[by]] = np.repeat(least, np.diff(np.append(heads, len(by))))
+    begins_run = np.arange(SPREAD) < windows[several][:, None]
+    begins_run[:, 1:] &= value[:, 1:] != value[:, :-1]
+    row, first = np.nonzero(begins_run)
+    last = np.append(np.where(row[1:] == row[:-1], first[1:], windows[several][row[:-1]]), windows[several][row[-1:]]) - 1
+    run_of = np.concatenate([np.flatnonzero(alone), several[row]])
+    run_first = np.concatenate([np.zeros(alone.sum(), np.int64), first])
+    run_last = np.concatenate([windows[alone] - 1, last])
+    run_low = np.concatenate([low[alone], value[row, first]])
+    by = np.argsort(run_of, kind="stable")
+    run_of, run_first, run_last, run_low = run_of[by], run_first[by], run_last[by], run_low[by]
     # each entry gets the runs of its context
     context = np.empty(len(rows), np.int64)
     context[order] = np.repeat(np.arange(len(one)), np.diff(np.append(begins, len(order))))
@@ -191,37 +229,42 @@ def _sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["pack", "part", "runs"])
 
 
-def covered(pack: Pack, entries: Entries, ranges: int, results: list[dict]) -> np.ndarray:
-    """Which bytes go."""
-    change = np.zeros(len(pack.bytes) + 1, np.int64)
+def covered(pack: Pack, entries: Entries, ranges: int, results: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of bytes that go; none crosses documents."""
     parts, ends = range_bounds(entries.keys, ranges)
     offset = dict(zip(parts.tolist(), ends))
     edges = np.append(entries.begins, len(entries.starts))
+    begin, end = [], []
     for r in results:
         found = np.frombuffer(r["runs"], _RUN)
         entry = found["entry"].astype(np.int64) + offset[r["part"]]
         row, place = spread(edges[entry], edges[entry + 1] - edges[entry])
         later = entries.ids[place] > found["low"][row]
-        row, begin = row[later], entries.starts[place[later]]
-        change += np.bincount(begin + found["first"][row], minlength=len(change)) - np.bincount(begin + found["last"][row] + WIDTH, minlength=len(change))
-    return np.cumsum(change[:-1]) > 0
-
-
-def without(pack: Pack, gone: np.ndarray) -> pa.RecordBatch:
+        row, start = row[later], entries.starts[place[later]]
+        begin.append(start + found["first"][row])
+        end.append(start + found["last"][row] + WIDTH)
+    begin, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, end))
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
+    doc = pack.doc_at(begin)
+    new = np.flatnonzero(np.append(True, (begin[1:] > end[:-1]) | (doc[1:] != doc[:-1]))) if len(begin) else order
+    return begin[new], end[np.append(new[1:], len(end)) - 1] if len(end) else end
+
+
+def without(pack: Pack, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """One row per document: ``doc_id, n_bytes, spans, kept``."""
-    change = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
     ids, sizes, spans, kept = [], [], [], []
-    begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    for i, a, b in zip(pack.ids, pack.starts.tolist(), pack.starts[1:].tolist()):
-        lo, hi = np.searchsorted(end, a, side="right"), np.searchsorted(begin, b)
-        mine = [(max(x, a) - a, min(y, b) - a) for x, y in zip(begin[lo:hi].tolist(), end[lo:hi].tolist())] if a < b else []
+    first = np.searchsorted(begin, pack.starts).tolist()
+    begin, end = begin.tolist(), end.tolist()
+    for d, (i, a, b) in enumerate(zip(pack.ids, pack.starts.tolist(), pack.starts[1:].tolist())):
+        mine = range(first[d], first[d + 1])
         at, pieces = a, []
-        for x, y in mine:
-            pieces.append(pack.body[at : a + x])
-            at = a + y
+        for k in mine:
+            pieces.append(pack.body[at : begin[k]])
+            at = end[k]
         ids.append(i)
         sizes.append(b - a)
-        spans.append([{"start": x, "end": y} for x, y in mine])
+        spans.append([{"start": begin[k] - a, "end": end[k] - a} for k in mine])
         kept.append(b"".join([*pieces, pack.body[at:b]]))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
@@ -247,23 +290,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     packs = pack_documents(docs, id_col, text_col)
     ranges = range_count(packs)
-    found = repeated_keys(packs, ranges, anchor_keys)
+    found = repeated_keys(packs, ranges, anchor_keys, HOT_PACKS)
     release(spark)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, ids, sizes, body, masks in zip(*(c.to_pylist() for c in batch.columns)):
-                e = Entries(Pack(ids, sizes, body), ranges, masks)
-                if not len(e.keys):
-                    continue
-                parts, ends = range_bounds(e.keys, ranges)
-                cut = list(zip(ends, ends[1:]))
-                texts = [e.texts(a, b) for a, b in cut]
-                columns = [
-                    pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array([e.rows[a:b].tobytes() for a, b in cut], pa.binary()),
-                    pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "entries", "texts", "size"])
+        for pack, ids, sizes, body, masks in rows_of(batches):
+            e = Entries(Pack(ids, sizes, body), ranges, masks)
+            if not len(e.keys):
+                continue
+            parts, ends = range_bounds(e.keys, ranges)
+            cut = list(zip(ends, ends[1:]))
+            texts = [e.texts(a, b) for a, b in cut]
+            columns = [
+                pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array([e.rows[a:b].tobytes() for a, b in cut], pa.binary()),
+                pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "entries", "texts", "size"])
 
     masked = packs.select("pack", "ids", "sizes", "body").join(found, "pack").select("pack", "ids", "sizes", "body", "found")
     rows = masked.mapInArrow(emit, "part long, pack long, entries binary, texts binary, size long")
@@ -272,11 +314,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sizes, body, masks, runs_ in zip(*(c.to_pylist() for c in batch.columns)):
-                pack = Pack(ids, sizes, body)
-                gone = covered(pack, Entries(pack, ranges, masks), ranges, runs_) if runs_ else np.zeros(len(pack.bytes), bool)
-                yield without(pack, gone)
+        for ids, sizes, body, masks, results_ in rows_of(batches):
+            pack = Pack(ids, sizes, body)
+            none = np.zeros(0, np.int64)
+            yield without(pack, *(covered(pack, Entries(pack, ranges, masks), ranges, results_) if results_ else (none, none)))
 
     known = found.join(results, "pack", "left")
     all_ = packs.join(known, "pack", "left").select("ids", "sizes", "body", "found", "results")

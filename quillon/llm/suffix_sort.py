@@ -11,7 +11,7 @@ SHALLOW = 24
 def words_at(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Eight bytes from each start as a number that sorts like them; beyond ``width`` of eight they are zero."""
     got = np.zeros((len(starts), 8), np.uint8)
-    got[:, :width] = flat[starts[:, None] + np.arange(width)]
+    got[:, :width] = np.lib.stride_tricks.sliding_window_view(flat, width)[starts]
     return got.view(">u8").ravel().astype(np.uint64)
 
 
