@@ -79,7 +79,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     first = F.round(F.array_min(F.col("plays.position")), 9).alias("position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
 _OP6 = r"""
