@@ -28,8 +28,8 @@ PERCENT = 85
 BANDS, BAND_ROWS = 30, 6
 BUCKETS = BANDS * BAND_ROWS
 MANTISSA = 10
-#: Estimates that lie so many standard errors under the threshold are not verified; sets smaller than EXACT_BELOW always are.
-SLACK, EXACT_BELOW = 7.0, 64
+#: Estimates that lie so many standard errors under the threshold are not verified. Sets smaller than EXACT_BELOW always are, as they fill too few buckets.
+SLACK, EXACT_BELOW = 7.0, 400
 #: Sets compared in one go: so many, and of so many shingles together.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 
@@ -200,19 +200,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(named(id_col).alias("doc_id"), F.xxhash64(named(id_col), named(text_col)).alias("text_key"), named(text_col).cast("binary").alias("text"))
     schema = T.StructType().add("doc_id", kind).add("text_key", "long").add("n_shingles", "long").add("digest", "binary").add("bands", T.ArrayType(T.LongType()))
     light = written(rows.select("doc_id", "text_key", "text").mapInArrow(_sketch, schema))
-    # equal sets are one node from here on; they merge before the shuffle
+    # equal sets are one node from here on; they merge before the shuffle. Aggregates are written before they are joined,
+    # so that Spark may split a band or part that many nodes share
     node = F.xxhash64("digest").alias("node")
     nodes = light.where("n_shingles > 0").groupBy("digest").agg(F.first("bands").alias("bands"))
     keys = written(nodes.select(node, F.explode("bands").alias("key")))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    proposed = keys.join(shared, "key").where("node != low").select("node", "low").distinct()
+    proposed = keys.join(written(shared), "key").where("node != low").select("node", "low").distinct()
     parts = components(proposed, "node", "low").withColumnRenamed("component", "part")
     # a part has all candidates of its documents; large ones are dealt into blocks, and each pair of blocks is compared in one place
     members = light.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("text_key", "doc_id")).alias("first"), F.first("n_shingles").alias("n"))
     members = written(members.select("digest", "first.*", "n", node).join(parts, "node"))
     sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    members = members.join(sizes.select("part", blocks), "part").select("part", "blocks", "digest", F.col("text_key").alias("m_key"), F.col("doc_id").alias("m_id"))
+    members = members.join(written(sizes.select("part", blocks)), "part").select("part", "blocks", "digest", F.col("text_key").alias("m_key"), F.col("doc_id").alias("m_id"))
     texts = rows.join(members, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("part", "blocks", "digest", "text")
     sets = texts.mapInArrow(_sets, "part long, blocks int, digest binary, shingles binary")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block")
@@ -246,7 +247,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = written(_grouped(docs, id_col, text_col))
     low = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low")).withColumnRenamed("component", "of")
-    found = rows.join(low, F.col("component") == F.col("of"), "left")
+    found = rows.join(written(low), F.col("component") == F.col("of"), "left")
     own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
