@@ -27,8 +27,8 @@ SPREAD = WIDTH - GRAM + 1
 CONTEXT = WIDTH + SPREAD - 1
 #: Contexts of a key that more packs have are sent window by window, dealt by the windows' own hashes, so that no task gets them all.
 HOT_PACKS = 500
-#: About so many suffixes are sorted at once.
-SORT_WINDOWS = 50_000
+#: About so many suffixes are sorted at once; a single key may have more.
+SORT_WINDOWS = 20_000
 #: Bytes hashed at once, for the sake of the processor's cache.
 SLICE = 1 << 17
 
@@ -75,6 +75,11 @@ def anchors(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     keys, at, first, last = map(np.concatenate, (keys, at, first, last))
+    # anchors have small hashes, as the smallest was chosen; another mixing spreads their keys evenly over the ranges
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    keys ^= keys >> np.uint64(32)
+    keys *= np.uint64(0xD6E8FEB86659FD93)
+    keys ^= keys >> np.uint64(29)
     # a run that a slice's end cut in two
     new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (first[1:] != last[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
     return keys[new], at[new], first[new], last[np.append(new[1:], len(at)) - 1] if len(at) else last

@@ -102,11 +102,14 @@ def _deep(flat: np.ndarray, starts: np.ndarray, width: int, shallow: int, order:
         if b - a < 2:
             continue
         strings = [flat[s : s + width].tobytes() for s in starts[order[tied[first[a:b]]]]]
-        runs: dict[bytes, list[int]] = {}
-        for k, s in enumerate(strings):  # a run may recur if its mark collides
-            runs.setdefault(s, []).extend(range(first[a + k], ends[a + k]))
-        distinct = list(runs)
-        sorted_runs = [runs[distinct[k]] for k in BlindTrie(distinct, shallow).order()]
         places = tied[first[a] : ends[b - 1]]
-        order[places] = order[tied[[p for r in sorted_runs for p in r]]]
-        same[places] = [k > 0 for r in sorted_runs for k in range(len(r))]
+        if len(set(strings)) == b - a:
+            runs = [range(first[a + k], ends[a + k]) for k in BlindTrie(strings, shallow).order()]
+        else:  # a string may have several runs if marks collide
+            of: dict[bytes, list[int]] = {}
+            for k, s in enumerate(strings):
+                of.setdefault(s, []).extend(range(first[a + k], ends[a + k]))
+            distinct = list(of)
+            runs = [of[distinct[k]] for k in BlindTrie(distinct, shallow).order()]
+        order[places] = order[tied[[p for r in runs for p in r]]]
+        same[places] = [k > 0 for r in runs for k in range(len(r))]
