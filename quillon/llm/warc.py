@@ -24,8 +24,8 @@ from quillon.llm.common import named, shared_folder, written
 
 #: Equal payloads of so many bytes are stored once.
 LEAST_REVISIT = 1000
-#: An archive is closed at so many bytes; a reader takes so many bytes of records at once.
-ARCHIVE_BYTES, READ_BYTES = 64 << 20, 2 << 20
+#: An archive is closed at so many bytes; a reader takes so many bytes of records at once, and a task so many in all.
+ARCHIVE_BYTES, READ_BYTES, TASK_BYTES = 64 << 20, 1 << 20, 8 << 20
 #: Fixed names and texts of the format.
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -144,7 +144,7 @@ def with_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).alias("url"), F.coalesce(named(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("same"))
     groups = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("same").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1").select(F.col("same").alias("of"), "top", "n")
+    groups = written(groups.where("n > 1").select(F.col("same").alias("of"), "top", "n"))  # so that the join may split a payload of many pages
     found = rows.join(groups, F.col("same") == F.col("of"), "left")
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return found.select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
@@ -219,7 +219,7 @@ def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of the archives in the column ``path``: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``.
+    """Records of ``archives`` (path, n_bytes): ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``.
 
     Indexes are read first, then stretches of records by range, in tasks of
     their own however large an archive is. ``payload`` is null for revisits, and
@@ -240,5 +240,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = Tru
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in kinds.items()], list(kinds))
 
-    stretches = archives.select("path").mapInArrow(_ranges, "path string, offset long, lengths array<long>").repartition("path", "offset")
+    # rows that stand for much work are small: without a number, Spark would put them all into one task
+    tasks = (archives.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES + 1
+    stretches = archives.select("path").repartition(tasks, "path").mapInArrow(_ranges, "path string, offset long, lengths array<long>").repartition(tasks, "path", "offset")
     return stretches.mapInArrow(emit, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
