@@ -22,6 +22,8 @@ from quillon.llm.common import named, written
 PACK_BYTES, PACK_DOCS = 4 << 20, 20_000
 #: A key range is compared in one go; there is one for so many bytes of text.
 RANGE_BYTES = 4 << 20
+#: Packs are written once and shuffled twice, so a better level than the fastest pays: 0.36 of the text's size where that has 0.45.
+PACK_LEVEL = 5
 #: Null ids stand after all others.
 NULL_ID = np.iinfo(np.int64).max
 #: Bytes of a key that the presence step moves. Keys that agree in these only cost a comparison later.
@@ -48,7 +50,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row():
         body = b"".join(texts)
-        columns = [[(task << 33) + n], [ids], [[len(t) for t in texts]], [len(body)], [pa.compress(body, codec="zstd", asbytes=True) if body else b""]]
+        columns = [[(task << 33) + n], [ids], [[len(t) for t in texts]], [len(body)], [pa.Codec("zstd", compression_level=PACK_LEVEL).compress(body, asbytes=True) if body else b""]]
         kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pack", "ids", "sizes", "raw", "body"])
 
