@@ -23,6 +23,10 @@ from quillon.llm.near_dedup import drop_near_copies
 from quillon.llm.quality import keep_good
 
 
+#: Documents whose sets of shingles are so many percent similar are near copies; op2_near_dedup has a stricter bound of its own.
+NEAR_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +43,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, the one with the smallest id."""
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ decide.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from quillon.llm.common import matching_rows, named, written
 from quillon.llm.graph import components
 
 SHINGLE = 5
-#: Two sets link where 100 * intersection >= PERCENT * union.
+#: Two sets link where 100 * intersection >= percent * union, unless told otherwise with this percentage.
 PERCENT = 85
-#: At the threshold a pair meets in no band once in a million pairs, beyond it more rarely.
-BANDS, BAND_ROWS = 30, 6
+#: Made for thresholds from 80 percent on, where they miss few pairs.
+BANDS, BAND_ROWS = 36, 5
 BUCKETS = BANDS * BAND_ROWS
 MANTISSA = 10
 #: Estimates that lie so many standard errors under the threshold are not verified. Sets smaller than EXACT_BELOW always are, as they fill too few buckets.
@@ -114,12 +115,12 @@ def estimates(regs: np.ndarray, one: np.ndarray, size: float) -> np.ndarray:
     return ((regs == one).mean(axis=1) - c) / (1 - c)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all that linked pairs connect; with ``side``, of pairs from different sides.
 
     A pair is skipped only if links found before connect it, if sizes alone
@@ -129,12 +130,12 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> li
     size = np.array([len(s) for s in sets])
     regs = np.stack([registers(s) for s in sets])
     group = np.arange(n)
-    t = PERCENT / 100
+    t = percent / 100
     floor = t - SLACK * (t * (1 - t) / BUCKETS) ** 0.5
     found = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        j = j[(group[j] != group[i]) & (100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i]))]
+        j = j[(group[j] != group[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
         if side is not None:
             j = j[side[j] != side[i]]
         if not len(j):
@@ -142,7 +143,7 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> li
         guess = estimates(regs[j], regs[i], float(size[i]))
         ok = (guess >= floor) | (size[j] < EXACT_BELOW) | (size[i] < EXACT_BELOW)
         for k in j[ok][np.argsort(-guess[ok], kind="stable")]:
-            if group[k] != group[i] and linked(sets[i], sets[k]):
+            if group[k] != group[i] and linked(sets[i], sets[k], percent):
                 found.append((i, int(k)))
                 group[group == group[k]] = group[i]
     return found
@@ -170,7 +171,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["part", "blocks", "digest", "shingles"])
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, low, high, block, digest, shingles) in the order of the first three to links between digests."""
 
     def of(rows: list) -> list[tuple[bytes, bytes]]:
@@ -179,7 +180,7 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return []
         side = np.array([b for _, _, b in rows])
         sets = [np.frombuffer(s, np.uint64) for _, s, _ in rows]
-        return [(rows[i][0], rows[j][0]) for i, j in spanning_links(sets, side if side.min() != side.max() else None)]
+        return [(rows[i][0], rows[j][0]) for i, j in spanning_links(sets, side if side.min() != side.max() else None, percent)]
 
     key, rows = None, []
     for batch in batches:
@@ -194,7 +195,7 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, component``; the component is null for documents without shingles."""
     kind = docs.schema[id_col].dataType
     rows = docs.select(named(id_col).alias("doc_id"), F.xxhash64(named(id_col), named(text_col)).alias("text_key"), named(text_col).cast("binary").alias("text"))
@@ -220,17 +221,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = sets.select("*", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "shingles")
     dealt = dealt.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
-    links = dealt.mapInArrow(_links, "a binary, b binary")
+    links = dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
     found = components(links, "a", "b")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("component")
     return light.drop("bands").join(found, F.col("digest") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", component)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents link where their sets of five-word shingles (A-Z lower-cased; all
-    words as one where there are fewer) are at least PERCENT percent similar.
+    words as one where there are fewer) are at least ``percent`` percent similar.
     ``component_id`` is the smallest id that links reach, ``kept`` whether it is
     the document's own.
 
@@ -245,19 +246,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share their verdict. An empty table gives an empty result; further columns
     are ignored.
     """
-    rows = written(_grouped(docs, id_col, text_col))
+    rows = written(_grouped(docs, id_col, text_col, percent))
     low = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low")).withColumnRenamed("component", "of")
     found = rows.join(written(low), F.col("component") == F.col("of"), "left")
     own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, of repeated rows one.
 
     Documents without words are in no component and stay.
     """
-    rows = written(_grouped(docs, id_col, text_col))
+    rows = written(_grouped(docs, id_col, text_col, percent))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     alone = F.col("component").isNull()
     kept = rows.where(~alone).groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key", F.lit(True).alias("single"))
