@@ -47,8 +47,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ``benchmark``."""
-    return drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of ``benchmark``, short items and edited or cut passages included."""
+    return drop_leaks(docs, _table(spark, sf_dir, "benchmark"), short=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

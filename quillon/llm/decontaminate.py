@@ -2,7 +2,8 @@
 
 Fixed masks pick six of eight or twelve neighbouring tokens and ignore the
 others; a benchmark item and a document that agree under a mask are compared
-along that diagonal, token by token.
+along that diagonal, token by token. Items too short for the masks are cut into
+one piece more than tokens may differ, one of which is equal in every leak.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from quillon.llm.common import named, written
 WINDOW, EQUAL = 16, 13
 #: Offsets of the tokens that a mask compares. Found by search; tests go through all 560 cases.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 9, 10, 11))
-#: Items of fewer tokens are no evidence.
+#: Items of fewer tokens are no evidence, or must match whole.
 LEAST_ITEM = 8
 #: Seeds (some 100 bytes each in memory) that are broadcast at once; a larger benchmark is dealt into blocks, each matched in turn.
 BLOCK_SEEDS = 500_000
@@ -36,10 +37,29 @@ def _seeds(words: str, at: str) -> Column:
     return F.array(*(seed(k, m) for k, m in enumerate(MASKS)))
 
 
-def _along_diagonal() -> tuple[Column, Column]:
-    """Equal tokens in the best window of the item's diagonal, and on all of it."""
+def _differing(size: Column) -> Column:
+    """So many tokens of a window of an item may differ: as many in proportion as of WINDOW, none under LEAST_ITEM."""
+    return F.when(size < LEAST_ITEM, 0).otherwise(F.floor(F.least(size, F.lit(WINDOW)) * (WINDOW - EQUAL) / WINDOW)).cast("int")
+
+
+def _gram(words: Column, at: Column, n: int) -> Column:
+    """The hash of ``n`` tokens in a row; those of other lengths and masks are others."""
+    return F.xxhash64(F.lit(-n), *(F.get(words, at + k) for k in range(n)))
+
+
+def _pieces(words: Column) -> Column:
+    """An item cut into one piece more than tokens may differ: structs (piece, i_at)."""
+    n, parts = F.size(words), _differing(F.size(words)) + 1
+    cut = lambda k: F.floor(k * n / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct((cut(k + 1) - cut(k)).alias("piece"), cut(k).alias("i_at")))
+
+
+def _along_diagonal(edges: bool) -> tuple[Column, Column]:
+    """Equal tokens in the best window of the item's diagonal, and on all of it; with ``edges``, windows may reach out of the document."""
     shift = F.col("at") - F.col("i_at")
     first, last = F.greatest(F.lit(0), -shift), F.least(F.size("i_words"), F.size("words") - shift) - 1
+    if edges:
+        first, last = F.lit(0), F.size("i_words") - 1
     same = F.transform(F.sequence(first, last), lambda j: F.when(F.get(F.col("i_words"), j) == F.get(F.col("words"), j + shift), 1).otherwise(0))
     width = F.least(F.lit(WINDOW), F.size("i_words"))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
@@ -47,12 +67,16 @@ def _along_diagonal() -> tuple[Column, Column]:
     return F.coalesce(F.array_max(windows), F.lit(0)), total(same)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per document and item that it leaks: ``doc_id, text_key, item_id, best_window, aligned``.
 
     An item leaks where, along one alignment, EQUAL of WINDOW tokens in a row
     are equal; an item of fewer than WINDOW but at least LEAST_ITEM tokens,
-    where all its tokens are. ``best_window`` and ``aligned`` are the equal
+    where all its tokens are. With ``short``, an item of fewer than WINDOW
+    tokens may differ in as many in proportion, one of fewer than LEAST_ITEM in
+    none, and tokens of a window that lie beyond an edge of the document count
+    as differing, so that a document that is part of an item is found.
+    ``best_window`` and ``aligned`` are the equal
     tokens in the best such window and on the whole alignment, the best of all.
 
     Documents are read once and never shuffled: their seeds are looked up in the
@@ -64,14 +88,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     text (``text_key`` is its hash) merge to one. Empty tables give an empty
     result; further columns are ignored.
     """
-    items = benchmark.select(named(item_col).alias("item_id"), tokens(named(item_text_col)).alias("i_words")).where(F.size("i_words") >= LEAST_ITEM)
+    items = benchmark.select(named(item_col).alias("item_id"), tokens(named(item_text_col)).alias("i_words")).where(F.size("i_words") >= (1 if short else LEAST_ITEM))
     items = written(items.distinct().withColumn("item", F.xxhash64("item_id", "i_words")))
-    positions = items.select("item", "i_words", F.explode(F.sequence(F.lit(0), F.size("i_words") - 1)).alias("i_at"))
-    seeds = written(positions.select("item", "i_at", F.explode(_seeds("i_words", "i_at")).alias("i_seed")).where("i_seed is not null"))
+    masked = items.where(F.size("i_words") >= WINDOW) if short else items
+    positions = masked.select("item", "i_words", F.explode(F.sequence(F.lit(0), F.size("i_words") - 1)).alias("i_at"))
+    seeds = positions.select("item", "i_at", F.explode(_seeds("i_words", "i_at")).alias("i_seed")).where("i_seed is not null")
+    lengths = []
+    if short:
+        pieces = items.where(F.size("i_words") < WINDOW).select("item", "i_words", F.inline(_pieces(F.col("i_words"))))
+        lengths = sorted(r.piece for r in pieces.select("piece").distinct().collect())
+        gram = F.coalesce(F.lit(None).cast("long"), *(F.when(F.col("piece") == n, _gram(F.col("i_words"), F.col("i_at"), n)) for n in lengths))
+        seeds = seeds.unionByName(pieces.select("item", "i_at", gram.alias("i_seed")))
+    seeds = written(seeds)
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     rows = docs.select(named(id_col).alias("doc_id"), F.xxhash64(named(text_col)).alias("text_key"), tokens(named(text_col)).alias("words"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))).alias("at"))
-    rows = rows.select("*", F.explode(_seeds("words", "at")).alias("seed")).where("seed is not null")
+    grams = F.array(*(F.when(F.col("at") + n <= F.size("words"), _gram(F.col("words"), F.col("at"), n)) for n in lengths))
+    rows = rows.select("*", F.explode(F.concat(_seeds("words", "at"), grams) if lengths else _seeds("words", "at")).alias("seed")).where("seed is not null")
     found = None
     for k in range(blocks):
         block = F.pmod(F.col("item"), F.lit(blocks)) == k
@@ -80,9 +113,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         goes_on = lambda m: reduce(and_, (F.get(F.col("words"), F.col("at") + (o - 1)) == F.get(F.col("i_words"), F.col("i_at") + (o - 1)) for o in m))
         inside = (F.col("at") > 0) & (F.col("i_at") > 0)
         run = F.coalesce(inside & reduce(lambda a, b: a | b, (goes_on(m) for m in MASKS)), F.lit(False))
-        best, aligned = _along_diagonal()
+        if short:  # runs are of masks, of which short items have no seeds
+            run = run & (F.size("i_words") >= WINDOW)
+        best, aligned = _along_diagonal(short)
         hits = hits.where(~run).select("doc_id", "text_key", "item_id", F.size("i_words").alias("size"), F.struct(best.alias("best_window"), aligned.alias("aligned")).alias("m"))
-        need = F.when(F.col("size") < WINDOW, F.col("size")).otherwise(EQUAL)
+        need = F.least(F.col("size"), F.lit(WINDOW)) - _differing(F.col("size")) if short else F.when(F.col("size") < WINDOW, F.col("size")).otherwise(EQUAL)
         hits = hits.where(F.col("m.best_window") >= need)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "text_key", "item_id").agg(F.max("m").alias("m")).select("doc_id", "text_key", "item_id", "m.best_window", "m.aligned")
