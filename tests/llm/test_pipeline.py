@@ -46,7 +46,7 @@ def test_stages(spark):
         first[body] = min(i, first.get(body, i))
     left = [d for d in left if d[0] in first.values()]
     now = step("exact dedup")
-    kept = {i for i, *_, k in brute_near([(i, t) for i, t, _ in left]) if k}
+    kept = {i for i, *_, k in brute_near([(i, t) for i, t, _ in left], percent=80) if k}
     left = [d for d in left if d[0] in kept]
     now = step("MinHash near-dedup")
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]

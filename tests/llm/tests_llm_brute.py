@@ -11,7 +11,7 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_near(docs):
+def brute_near(docs, percent=85):
     """doc_id -> (shingles, component), through an inverted index of all shingles."""
     sets = [shingles(t) for _, t in docs]
     where, parent = {}, list(range(len(docs)))
@@ -28,7 +28,7 @@ def brute_near(docs):
                 common[j] = common.get(j, 0) + 1
             where[x].append(k)
         for j, c in common.items():
-            if 100 * c >= 85 * (len(s) + len(sets[j]) - c):
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
                 parent[find(k)] = find(j)
     low = {}
     for k, (i, _) in enumerate(docs):
