@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import written
 from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, runs, together, unmask
 
-#: A cut where the hash has so many leading zero bits: every 16 bytes on average, but no chunk under LEAST bytes (a document's last excepted) or over MOST.
-ZERO_BITS, LEAST, MOST = 4, 16, 256
+#: A cut where the hash has so many leading zero bits: every 32 bytes on average, but no chunk under LEAST bytes (a document's last excepted) or over MOST.
+ZERO_BITS, LEAST, MOST = 5, 32, 256
 #: Bytes that the hash sees, one for each of its bits.
 SIGHT = 32
-#: Only spans of so many bytes go: a phrase that two texts share is no copied passage.
-LEAST_SPAN = 100
 
 _ENTRY = np.dtype([("key", "<u8"), ("rest", "<u8"), ("low", "<i8"), ("high", "<i8")])
 _FOUND = np.dtype([("entry", "<u4"), ("low", "<i8")])
@@ -152,7 +150,7 @@ def _without(pack: Pack, ranges: int, masks: list[dict] | None, results: list[di
                 mine.append([a, b, v])
     spans, kept = [], []
     for d, (a, b) in enumerate(zip(pack.starts.tolist(), pack.starts[1:].tolist())):
-        at, pieces, mine = a, [], [s for s in removed.get(d, ()) if s[1] - s[0] >= LEAST_SPAN]
+        at, pieces, mine = a, [], removed.get(d, ())
         for x, y, _ in mine:
             pieces.append(pack.body[at:x])
             at = y
@@ -167,8 +165,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: ``doc_id, n_bytes, spans, kept``.
 
     A chunk goes if a document with a smaller id has a chunk of the same digest;
-    neighbouring removed chunks are one span, and spans under LEAST_SPAN bytes
-    stay. ``first_id`` of a span is the smallest id that has a chunk of it, and
+    neighbouring removed chunks are one span. ``first_id`` of a span is the smallest id that has a chunk of it, and
     ``kept`` the bytes that stay, as binary.
 
     Digests are compared by key range, first by a few bytes of which only bit

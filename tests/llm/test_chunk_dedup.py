@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from quillon.llm import packs, registry
-from quillon.llm.chunk_dedup import GEAR, LEAST, LEAST_SPAN, MOST, SIGHT, ZERO_BITS, chunk_dedup, cut_points
+from quillon.llm.chunk_dedup import GEAR, LEAST, MOST, SIGHT, ZERO_BITS, chunk_dedup, cut_points
 
 
 def brute_chunks(t):
@@ -42,7 +42,6 @@ def brute(docs):
                     spans[-1] = (spans[-1][0], b, min(v, spans[-1][2]))
                 else:
                     spans.append((a, b, v))
-        spans = [s for s in spans if s[1] - s[0] >= LEAST_SPAN]
         kept, at = b"", 0
         for a, b, _ in spans:
             kept, at = kept + t[at:a], b
@@ -83,6 +82,30 @@ def test_awkward(spark):
     assert chunk_dedup(df.limit(0)).count() == 0
 
 
+def test_short_copies_go(spark):
+    """Every chunk that a smaller id has goes, however short its span."""
+    rnd = random.Random(6)
+    short = words(rnd, 40)[:40]
+    docs = [(1, short), (2, short), (3, "one\n"), (4, "one\n"), (5, short + "!")]
+    got = {r.doc_id: bytes(r.kept) for r in chunk_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: short.encode(), 2: b"", 3: b"one\n", 4: b"", 5: got[5]}
+    same(chunk_dedup(spark.createDataFrame(docs, "doc_id long, text string")), docs)
+
+
+def test_planted_passages_are_caught():
+    """Passages of 51 words at random places in texts of random words."""
+    rnd = random.Random(8)
+    vocabulary = [words(rnd, 1) for _ in range(3000)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n)).encode()
+    chunks = lambda t: {t[a:b] for a, b in brute_chunks(t)}
+    caught = 0
+    for _ in range(400):
+        passage = text(51)
+        one, two = (chunks(text(rnd.randint(0, 60)) + b" " + passage + b" " + text(rnd.randint(0, 60))) for _ in "ab")
+        caught += bool(one & two)
+    assert caught >= 0.97 * 400
+
+
 def test_insertions_move_few_cuts():
     rnd = random.Random(4)
     a = words(rnd, 2000).encode()
