@@ -12,7 +12,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Fixed by the contracts: white space, and a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,8 +57,9 @@ def _temporary_folder() -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows by way of a Parquet table in the shared folder: made once, and safe when executors go."""
     path = f"{shared_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # files cannot hold any name
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def row_hash(docs: DataFrame, *without: str) -> Column:
@@ -67,14 +67,47 @@ def row_hash(docs: DataFrame, *without: str) -> Column:
     return F.xxhash64(*(named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name not in without))
 
 
+#: A bitmap has at most so many words of 64 bits; broadcast, a word takes some 60 bytes.
+BITMAP_WORDS = 1 << 20
+
+
+class Bitmap:
+    """A set of long keys as a table (word, bits) of bounded size, which may be broadcast whatever the number of keys.
+
+    A key of the set is always found. Others are found now and then: one in 64
+    while there are fewer keys than BITMAP_WORDS, more often beyond, so what is
+    found has to be settled by a join, and what is not found needs none.
+    """
+
+    def __init__(self, keys: DataFrame):
+        keys = keys.toDF("key")
+        self._words = min(BITMAP_WORDS, 1 << max(0, keys.count() - 1).bit_length())
+        self._table = written(keys.groupBy(self._word(F.col("key")).alias("word")).agg(F.bit_or(self._bit(F.col("key"))).alias("bits")))
+
+    def _word(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self._words))
+
+    @staticmethod
+    def _bit(key: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58).cast("int"))
+
+    def split(self, rows: DataFrame, key: Column, found: bool) -> DataFrame:
+        """The rows whose key is found, or those whose key is not. A null key is never found."""
+        own, word, bits = (fresh(n, rows.columns) for n in ("key", "word", "bits"))
+        marked = rows.withColumn(own, key).withColumn(word, self._word(F.col(own)))
+        marked = marked.join(F.broadcast(self._table.toDF(word, bits)), word, "inner" if found else "left")
+        hit = F.col(bits).bitwiseAND(self._bit(F.col(own))) != 0
+        return marked.where(hit if found else ~F.coalesce(hit, F.lit(False))).select(*map(named, rows.columns))
+
+
 def matching_rows(docs: DataFrame, id_col: str, text_col: str, own: Column, keys: DataFrame) -> DataFrame:
-    """The rows, with all their columns, whose id and key ``own`` stand in ``keys`` (id, key, once).
+    """The rows, with all their columns, whose id and key ``own`` stand in ``keys`` (id, key, copies).
 
-    Of rows that agree in both only one stays where ``once`` is true. Documents
-    are shuffled once, by key; rows of an id that many rows share part by key.
+    Where ``copies`` is over 1, so many rows agree in both and one of them
+    stays, by an aggregation that merges them before the shuffle; 0 keeps all.
     """
-    mine, its, key, once, turn = (fresh(n, docs.columns) for n in ("mine", "its", "key", "once", "turn"))
-    found = docs.withColumn(mine, own).join(keys.toDF(its, key, once), (F.col(mine) == F.col(key)) & named(id_col).eqNullSafe(F.col(its)))
-    alike = Window.partitionBy(key, its).orderBy(row_hash(docs, text_col))
-    found = found.withColumn(turn, F.row_number().over(alike)).where((F.col(turn) == 1) | ~F.col(once))
-    return found.select(*map(named, docs.columns))
+    mine, its, key, copies, one = (fresh(n, docs.columns) for n in ("mine", "its", "key", "copies", "one"))
+    found = docs.withColumn(mine, own).join(keys.toDF(its, key, copies), (F.col(mine) == F.col(key)) & named(id_col).eqNullSafe(F.col(its)))
+    several = found.where(F.col(copies) > 1).groupBy(key, its).agg(F.min_by(F.struct(*map(named, docs.columns)), row_hash(docs, text_col)).alias(one))
+    columns = [F.col(one).getField(c).alias(c) for c in docs.columns]
+    return found.where(F.col(copies) <= 1).select(*map(named, docs.columns)).unionByName(several.select(*columns))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import WORD, fresh, named, row_hash, written
+from quillon.llm.common import WORD, Bitmap, fresh, named, row_hash, written
 
 #: (time, weight) knots, straight between them. The mean weight over 0..1 is the source's weight.
 Schedule = Sequence[tuple[float, float]]
@@ -156,12 +156,18 @@ def training_order(docs: DataFrame, **how) -> DataFrame:
     key, copy, at = (fresh(n, docs.columns) for n in ("m_key", "m_copy", "m_plays"))
     own_key, own_copy = fresh("own_key", docs.columns), fresh("own_copy", docs.columns)
     position, words = fresh("position", docs.columns), fresh("taken_words", docs.columns)
+    mixed = written(mix_sources(docs, **how).select("row_key", "doc_id", "plays"))
+    repeated = Bitmap(written(mixed.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key")))
+    own = F.xxhash64(named(id_col), named(text_col))
+    plays = lambda found: repeated.split(mixed, F.col("row_key"), found)
+    # a row of its own is joined by its key alone; only what may be repeated is numbered on both sides
+    single = plays(False).where(F.size("plays") > 0).select(F.col("row_key").alias(key), F.col("plays").alias(at))
+    rows = repeated.split(docs, own, False).withColumn(own_key, own).join(single, F.col(own_key) == F.col(key)).select(*map(named, docs.columns), at)
     numbered = F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id", "plays"))
-    mixed = mix_sources(docs, **how).select("row_key", numbered.alias("copy"), "plays").where(F.size("plays") > 0).toDF(key, copy, at)
-    rows = docs.withColumn(own_key, F.xxhash64(named(id_col), named(text_col)))
-    rows = rows.withColumn(own_copy, F.row_number().over(Window.partitionBy(own_key).orderBy(named(id_col), row_hash(docs, text_col))))
-    # two inequalities, as an equality would be a join key too and shuffle the documents again
-    same = (F.col(own_key) == F.col(key)) & (F.col(own_copy) <= F.col(copy)) & (F.col(own_copy) >= F.col(copy))
-    out = rows.join(mixed, same).select(*map(named, docs.columns), F.explode(at).alias(at))
+    several = plays(True).select("row_key", numbered.alias("copy"), "plays").where(F.size("plays") > 0).toDF(key, copy, at)
+    again = repeated.split(docs, own, True).withColumn(own_key, own)
+    again = again.withColumn(own_copy, F.row_number().over(Window.partitionBy(own_key).orderBy(named(id_col), row_hash(docs, text_col))))
+    again = again.join(several, (F.col(own_key) == F.col(key)) & (F.col(own_copy) == F.col(copy))).select(*map(named, docs.columns), at)
+    out = rows.unionByName(again).select(*map(named, docs.columns), F.explode(at).alias(at))
     out = out.select(*map(named, docs.columns), F.col(at)["position"].alias(position), F.col(at)["words"].alias(words))
     return out.orderBy(named(position), named(id_col))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import matching_rows, named, written
+from quillon.llm.common import Bitmap, matching_rows, named, written
 from quillon.llm.graph import components
 
 SHINGLE = 5
@@ -259,8 +259,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents without words are in no component and stay.
     """
     rows = written(_grouped(docs, id_col, text_col, percent))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    alone = F.col("component").isNull()
-    kept = rows.where(~alone).groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key", F.lit(True).alias("single"))
-    kept = kept.unionByName(rows.where(alone).select("doc_id", "text_key", F.lit(False).alias("single")).distinct())
-    return matching_rows(docs, id_col, text_col, F.xxhash64(named(id_col), named(text_col)), kept)
+    groups = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where("n > 1").withColumnRenamed("component", "of"))
+    shared = written(rows.join(groups.select("of"), F.col("component") == F.col("of"), "left_semi").select("doc_id", "text_key"))
+    known, own = Bitmap(shared.select("text_key")), F.xxhash64(named(id_col), named(text_col))
+    # of the documents that may be in a group, its first stays, and so do those that the bitmap found by chance
+    stay = groups.select("first.doc_id", "first.text_key")
+    keys = shared.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.text_key") == F.col("s.text_key"))
+    keys = keys.alias("k").join(stay.alias("s"), same, "left_semi").select("doc_id", "text_key", "n")
+    chance = known.split(rows, F.col("text_key"), True).select("doc_id", "text_key").join(shared.select(F.col("text_key").alias("of")), F.col("text_key") == F.col("of"), "left_anti")
+    keys = keys.unionByName(chance.distinct().withColumn("n", F.lit(0).cast("long")))
+    return known.split(docs, own, False).unionByName(matching_rows(known.split(docs, own, True), id_col, text_col, own, keys))
