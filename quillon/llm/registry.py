@@ -126,16 +126,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP7 = r"""
 with d as (select distinct doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
 b as (select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') v from benchmark),
-i as (select item_id, len(v) n, unnest(v) token, unnest(range(len(v))) as pos from b where len(v) >= 8),
-t as (select doc_id, len(w) m, unnest(w) token, unnest(range(len(w))) as pos from d),
-h as (select doc_id, item_id, n, m, t.pos - i.pos as diagonal, i.pos as pos from t join i on t.token = i.token),
-g as (select * from h qualify count(*) over (partition by doc_id, item_id, diagonal) >= least(n, 13)
-      and least(n, m - diagonal) - greatest(0, -diagonal) >= least(n, 16)),
-k as (select doc_id, item_id, n, diagonal, count(*) over (partition by doc_id, item_id, diagonal order by pos range between 15 preceding and current row) best,
-             count(*) over (partition by doc_id, item_id, diagonal) aligned from g),
-q as (select doc_id, item_id, n, diagonal, max(best) best_window, max(aligned) aligned from k group by doc_id, item_id, n, diagonal)
+i as (select item_id, len(v) n, unnest(v) token, unnest(range(len(v))) as pos from b),
+t as (select doc_id, unnest(w) token, unnest(range(len(w))) as pos from d),
+h as (select doc_id, item_id, n, t.pos - i.pos as diagonal, i.pos as pos, (13 * least(n, 16) + 15) // 16 as need from t join i on t.token = i.token),
+g as (select * from h qualify count(*) over (partition by doc_id, item_id, n, diagonal) >= need),
+k as (select doc_id, item_id, n, need, diagonal, count(*) over (partition by doc_id, item_id, n, diagonal order by pos range between 15 preceding and current row) best,
+             count(*) over (partition by doc_id, item_id, n, diagonal) aligned from g),
+q as (select doc_id, item_id, max(best) best_window, max(aligned) aligned from k group by doc_id, item_id, n, need, diagonal having max(best) >= need)
 select doc_id, item_id, cast(best_window as int) best_window, cast(aligned as int) aligned from q
-where best_window >= case when n < 16 then n else 13 end
 qualify row_number() over (partition by doc_id, item_id order by best_window desc, aligned desc) = 1
 """
 

@@ -5,24 +5,7 @@ import pytest
 import corpus_pipeline
 from quillon.llm import decontaminate
 from quillon.llm.decontaminate import drop_leaks, leaks
-from tests_llm_brute import words
-
-
-def brute(docs, items):
-    """Document, item and the most equal tokens of a window; tokens beyond the document's edges differ."""
-    out = {}
-    for i, t in docs:
-        x = words(t)
-        for j, u in items:
-            y = words(u)
-            n, width = len(y), min(16, len(y))
-            need = n if n < 8 else -(-13 * width // 16)
-            for d in range(1 - n, len(x)) if n else ():
-                same = [0 <= k + d < len(x) and x[k + d] == y[k] for k in range(n)]
-                best = max(sum(same[s : s + width]) for s in range(n - width + 1))
-                if best >= need:
-                    out[i, j] = max(out.get((i, j), (0, 0)), (best, sum(same)))
-    return {(*k, *v) for k, v in out.items()}
+from tests_llm_brute import brute_alignments
 
 
 def frames(spark, docs, items):
@@ -46,8 +29,8 @@ def test_short_items_and_edges(spark, seed, monkeypatch):
         docs.append((i, text(rnd.choice([0, 0, 5, 20])) + cut + text(rnd.choice([0, 0, 5, 20]))))
     docs, items = ([(i, " ".join(w)) for i, w in t] for t in (docs, items))
     if seed > 1:
-        monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 40)
-    assert {tuple(r)[:1] + tuple(r)[2:] for r in leaks(*frames(spark, docs, items), short=True).collect()} == brute(docs, items)
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert {tuple(r)[:1] + tuple(r)[2:] for r in leaks(*frames(spark, docs, items)).collect()} == {(*k, *v) for k, v in brute_alignments(docs, items).items()}
 
 
 def test_stage(spark, tmp_path):
@@ -65,5 +48,15 @@ def test_stage(spark, tmp_path):
     docs, bench = frames(spark, docs, [(1, " ".join(item)), (2, " ".join(long)), (3, "is a short question"), (4, None)])
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.without_leaks(spark, docs, str(tmp_path)).collect()) == [5, 6, 7]
-    assert sorted(r.doc_id for r in drop_leaks(docs, bench).collect()) == [1, 2, 3, 4, 5, 6, 7]
-    assert leaks(docs.limit(0), bench, short=True).count() == leaks(docs, bench.limit(0), short=True).count() == 0
+    assert sorted(r.doc_id for r in drop_leaks(docs, bench).collect()) == [5, 6, 7]
+    assert leaks(docs.limit(0), bench).count() == leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_no_item_is_too_short(spark, monkeypatch):
+    """An item of five tokens, and one substitution among twelve; the same by broadcast and by shuffle."""
+    docs = [(1, "what is the capital city"), (2, "so what is the capital city then"), (3, " ".join(f"p{k}" if k != 6 else "x" for k in range(12))), (4, "what is the main city")]
+    docs, items = frames(spark, docs, [(1, "What is the capital city?"), (2, " ".join(f"p{k}" for k in range(12)))])
+    want = [(1, 1, 5), (2, 1, 5), (3, 2, 11)]
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+        assert sorted((r.doc_id, r.item_id, r.best_window) for r in leaks(docs, items).collect()) == want

@@ -2,7 +2,6 @@
 
 import re
 
-from quillon.llm.decontaminate import EQUAL, LEAST_ITEM, WINDOW
 
 
 def shingles(t):
@@ -40,23 +39,28 @@ def words(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
 
 
-def brute_leaks(docs, items):
-    out = set()
+def brute_alignments(docs, items):
+    """(document, item) -> equal tokens of the best window and of its whole alignment; tokens beyond the document's edges differ."""
+    out = {}
     parsed = [(j, words(t)) for j, t in items]
     for i, t in docs:
         x = words(t)
         for j, y in parsed:
-            n = len(y)
-            width, need = min(WINDOW, n), EQUAL if n >= WINDOW else n
-            if n < LEAST_ITEM:
-                continue
-            for d in range(width - n, len(x) - width + 1):
-                same = [x[k + d] == y[k] for k in range(max(0, -d), min(n, len(x) - d))]
-                if sum(same) >= need and any(sum(same[s : s + width]) >= need for s in range(len(same) - width + 1)):
-                    out.add((i, j))
+            n, width = len(y), min(16, len(y))
+            need = -(-13 * width // 16)
+            for d in range(1 - n, len(x)) if n else ():
+                same = [0 <= k + d < len(x) and x[k + d] == y[k] for k in range(n)]
+                if sum(same) >= need:
+                    best = max(sum(same[s : s + width]) for s in range(n - width + 1))
+                    if best >= need:
+                        out[i, j] = max(out.get((i, j), (0, 0)), (best, sum(same)))
     return out
 
 
+def brute_leaks(docs, items):
+    return set(brute_alignments(docs, items))
+
+
 def brute_targets(sizes, weights, budget=1.5, epochs=2):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
