@@ -1,10 +1,10 @@
 """Personal data by weak supervision.
 
-Four kinds have fixed patterns and are always reported. Further candidates,
-tokens with several digits that no pattern covers, are voted on by pattern,
-gazetteer and context labelers; expectation maximisation over all documents
-estimates how reliable each labeler is, and a span classifier learns from the
-resulting probabilities.
+Four kinds have fixed patterns and are always reported. Further candidates are
+tokens with a digit, values that a sensitive word assigns, names and street
+addresses. Pattern, gazetteer and context labelers vote for or against each or
+abstain; expectation maximisation over all documents estimates how reliable each
+labeler is, and a span classifier learns from the resulting probabilities.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import named
+from quillon.llm.common import named, written
 
 #: Fixed by the contract, in this order; then what the method adds.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "number")
+ADDED = ("secret", "number", "name", "address")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,97 +77,164 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-#: A token ends at white space, quotes, brackets and signs that assign or part; it is a candidate with LEAST_DIGITS digits.
+#: Shapes of candidates. A code ends at white space, quotes, brackets and signs that assign or part, and has a digit.
+CODE, ASSIGNED, NAME, ADDRESS = range(4)
 _TOKEN = re.compile(r"(?<![^\s\"'=:,;|<>()\[\]{}])[^0-9\s\"'=:,;|<>()\[\]{}]*+[0-9][^\s\"'=:,;|<>()\[\]{}]*+")
 _TRIM = ".!?#$%&*"
-LEAST_DIGITS = 4
-
+_VALUE = re.compile(r"(?<![A-Za-z])(?:[Pp]ass(?:word|wd|phrase|code)|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_ -]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[\"']?\s{0,2}(?:[=:]|is)\s{0,2}[\"']?([^\s\"'=:,;|<>()\[\]{}]{4,})")
+_CAPITALS = re.compile(r"(?<!\w)[^\W\d_a-z][^\W\d_]*+(?:\.?[ ][^\W\d_a-z][^\W\d_]*+){1,3}")
+
+#: Words that people use as titles, names, kinds of street, and around them.
+_TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Dame Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Don Doña Sr Sra".split())
+_GIVEN = frozenset(
+    """James Mary John Peter Maria Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen
+    Christopher Nancy Daniel Lisa Matthew Betty Anthony Margaret Mark Sandra Donald Ashley Steven Kimberly Paul Emily Andrew Donna Joshua Michelle
+    Kenneth Carol Kevin Amanda Brian Dorothy George Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Sharon Jeffrey Laura Ryan Cynthia
+    Jacob Kathleen Gary Amy Nicholas Angela Eric Shirley Jonathan Anna Stephen Brenda Larry Pamela Justin Emma Scott Nicole Brandon Helen
+    Hans Klaus Wolfgang Jürgen Dieter Uwe Stefan Andreas Ursula Monika Petra Sabine Renate Heike Jean Pierre Michel Philippe Alain Marie Nathalie
+    Isabelle Sylvie Françoise José Antonio Manuel Francisco Juan Javier Carmen María Josefa Isabel Pilar Lucía Sofia Giulia Marco Luca Mohammed Ahmed Ali
+    Fatima Aisha Omar Yusuf Wei Li Ming Yuki Hiroshi Kenji Priya Raj Anil Sunita Ivan Olga Dmitri Natalia Piotr Agnieszka""".split()
+)
+_STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Square|Sq|Terrace|Place|Pl|Way|Close|Crescent|Parkway|Highway|Row|Mews"
+_NOT_NAMES = frozenset(
+    """University College School Church Company Corporation Inc Ltd Group Bank Party River Lake Mount Island City County State Street Road Avenue Park Museum Hotel Hospital
+    Center Centre Award Prize War Act Bay House Press Committee Association Institute January February March April May June July August September October
+    November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split()
+)
+_ADDRESS = re.compile(
+    rf"(?<![\w.,-])[0-9]{{1,5}}[A-Za-z]?\s(?:[^\W\d_a-z][\w'.-]*\s){{1,3}}(?:{_STREET})\b"
+    r"|(?<!\w)[^\W\d_a-z]\w*(?:straße|strasse|gasse|allee|platz|weg)\s[0-9]{1,4}[a-z]?(?!\w)"
+    r"|(?<!\w)[0-9]{1,4},?\s(?:rue|avenue|boulevard|place)\s(?:d[eu]\s|des\s|de\sla\s)?[^\W\d_a-z]\w*"
+    r"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\s(?:de\s|del\s|de\sla\s)?[^\W\d_a-z]\w*,?\s[0-9]{1,4}(?!\w)"
+)
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_ACCOUNT = re.compile(r"[0-9]{13,19}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
-_PLAIN = re.compile(r"[0-9]{4}|[0-9]{1,4}(?:[-/.][0-9]{1,4}){2}|v?[0-9]+(?:\.[0-9]+)+")
-_WORD_BEFORE = re.compile(r"([A-Za-z_]+)\W*$")
-_NAMES = frozenset("token key secret password passwd pwd api apikey auth bearer ssn iban account acct card passport licence tel phone fax mobile id user login".split())
-_THINGS = frozenset("page chapter figure table section version license year volume issue line part item copyright isbn".split())
+_KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{30,}|[sp]k_(?:live|test)_\w{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}(?:\.[\w-]+)*|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|00[1-9][0-9]{8,13}")
+_PLAIN = re.compile(r"[0-9]{1,5}|[0-9]{13,19}|[0-9]{1,4}(?:[-/.][0-9]{1,4}){2}|v?[0-9]+(?:\.[0-9]+)+|[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{1,2}(?:st|nd|rd|th)|[0-9]{4}s|[0-9]+%")
+#: ``Passphrase is`` has its word before the ``is``. A number of a card's length has failed the check of cards.
+_WORD_BEFORE = re.compile(r"([^\W\d]+)\W*(?:(?<=\W)(?<!\w)is\s*)?$")
+_SENSITIVE = frozenset("token key secret password passwd passphrase passcode pwd api apikey api_key auth bearer ssn iban account acct card passport licence tel phone fax mobile id user login born dob konto ausweis compte cuenta".split())
+_THINGS = frozenset("page chapter figure fig table section version license year volume vol issue line part item copyright isbn no number room step level day seite kapitel jahr tome año the a of in and to since about".split())
+_PERSON_BEFORE = frozenset("name dear contact by from attn signed patient client customer author called mr mrs ms dr prof herr frau".split())
+_PLACE_BEFORE = frozenset("address lives live lived living resides resident home at to anschrift wohnt adresse habite domicilio vive".split())
+
+
+def _around(text: str, a: int, b: int) -> tuple[str, str, str]:
+    """The token, what stands before it, and the word before it in lower case."""
+    left = text[max(0, a - 24) : a]
+    m = _WORD_BEFORE.search(left)
+    return text[a:b], left, m[1].lower() if m else ""
+
+
+def _changes(token: str) -> int:
+    return sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:]))
+
+
+def _assigned(left: str) -> bool:
+    return bool(left.strip()) and left.rstrip()[-1] in "\"'=:"
 
 
-def votes(text: str, a: int, b: int) -> tuple[int, ...]:
+def votes(text: str, shape: int, a: int, b: int) -> tuple[int, ...]:
     """Of each labeler: 1 personal, -1 not, 0 no opinion."""
-    token, left = text[a:b], text[max(0, a - 24) : a]
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    m = _WORD_BEFORE.search(left)
-    word = m[1].lower() if m else ""
-    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:]))
+    token, left, word = _around(text, a, b)
+    digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
+    code = shape in (CODE, ASSIGNED)
+    words = token.replace(".", "").split() if shape == NAME else []
+    titled = bool(words) and words[0] in _TITLES
+    plain = shape == ASSIGNED and token.isalpha() and token.islower()
+    number = re.search("[0-9]+", token) if shape == ADDRESS else None
     return (
-        1 if _HEX.fullmatch(token) and letters and digits or _UUID.fullmatch(token) else 0,
-        1 if _ACCOUNT.fullmatch(token) else -1 if _PLAIN.fullmatch(token) else 0,
-        1 if word in _NAMES else -1 if word in _THINGS else 0,
-        1 if left.rstrip()[-1:] in "\"'=:" and left.strip() else 0,
-        1 if changes >= 6 or digits >= 12 else -1 if digits <= 5 and letters >= 2 * digits or len(token) <= 5 else 0,
+        (1 if _HEX.fullmatch(token) and letters and digits or _UUID.fullmatch(token) or _KEY.fullmatch(token) else -1 if len(token) < 6 else 0) if code else 0,
+        (1 if _ACCOUNT.fullmatch(token) else -1 if _PLAIN.fullmatch(token) else 0) if code else 0,
+        (1 if word in _SENSITIVE else -1 if word in _THINGS else 0) if code else 0,
+        (1 if _assigned(left) else -1 if shape == CODE and word and left[-1:].isspace() and word not in _SENSITIVE else 0) if code else 0,
+        (1 if _changes(token) >= 6 or digits >= 9 or len(set(token)) >= 12 and digits else -1 if plain or shape == CODE and (digits <= 5 and letters == 0 or letters >= 3 * digits) else 0) if code else 0,
+        (1 if words[titled] in _GIVEN else -1) if len(words) > titled else 0,
+        (1 if titled or word in _PERSON_BEFORE else -1 if word in _THINGS else 0) if words else 0,
+        (-1 if not _NOT_NAMES.isdisjoint(words) else 1 if 2 <= len(words) - titled <= 3 else 0) if words else 0,
+        (1 if int(number[0]) < 1900 or int(number[0]) > 2100 else -1) if number else 0,
+        (1 if word in _PLACE_BEFORE or re.match(r",?\s[A-Z]{0,2}[0-9-]{4,}|,\s[^\W\d_a-z]", text[b : b + 12]) else -1 if word in ("chapter", "figure", "page", "version") else 0) if number else 0,
     )
 
 
-def features(text: str, a: int, b: int) -> tuple[int, ...]:
-    """Bins that describe a candidate to the classifier: length, share of digits, changes of kind, hexadecimal, sign and word before."""
-    token, left = text[a:b], text[max(0, a - 24) : a]
+def features(text: str, shape: int, a: int, b: int) -> tuple[int, ...]:
+    """Bins that describe a candidate to the classifier: shape, length, share of digits, changes of kind, hexadecimal, sign and word before, first word, words that no name has."""
+    token, left, word = _around(text, a, b)
     n = b - a
     digits = sum(c.isdigit() for c in token)
-    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:]))
-    m = _WORD_BEFORE.search(left)
-    word = m[1].lower() if m else ""
     sign = "\"'=:".find(left.rstrip()[-1:] or " ")
+    words = token.replace(".", "").split() if shape == NAME else []
     return (
+        shape,
         sum(n > k for k in (5, 8, 12, 15, 19, 31)),
         min(4, digits * 5 // n),
-        sum(changes > k for k in (0, 2, 5, 9)),
+        sum(_changes(token) > k for k in (0, 2, 5, 9)),
         int(bool(_HEX.fullmatch(token))),
         sign + 1,
-        1 if word in _NAMES else 2 if word in _THINGS else 0,
+        1 if word in _SENSITIVE else 2 if word in _THINGS else 3 if word in _PERSON_BEFORE else 4 if word in _PLACE_BEFORE else 0,
+        (1 if words[0] in _TITLES else 2 if words[0] in _GIVEN else 3) if words else 0,
+        int(not _NOT_NAMES.isdisjoint(words)),
     )
 
 
-LABELERS = 5
-BINS = (7, 5, 5, 2, 5, 3)
+LABELERS = 10
+BINS = (4, 7, 5, 5, 2, 5, 5, 4, 2)
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with LEAST_DIGITS digits that touch no span of a fixed kind, in order."""
+def _trimmed(token: str, a: int) -> tuple[int, int]:
+    inner = token.strip(_TRIM)
+    a += len(token) - len(token.lstrip(_TRIM))
+    return a, a + len(inner)
+
+
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """(shape, start, end) in order, of which none touches another or a span of a fixed kind; assigned values, addresses and names come before codes."""
+    found = [(ASSIGNED, *_trimmed(m[1], m.start(1))) for m in _VALUE.finditer(text)]
+    found += [(ADDRESS, m.start(), m.end()) for m in _ADDRESS.finditer(text)]
+    for m in _CAPITALS.finditer(text):
+        words = m[0].replace(".", "").split()
+        if words[0] in _GIVEN or words[0] in _TITLES or _around(text, m.start(), m.end())[2] in _PERSON_BEFORE:
+            found.append((NAME, m.start(), m.end()))
+    found += [(CODE, *_trimmed(m[0], m.start())) for m in _TOKEN.finditer(text)]
+    rank = {ASSIGNED: 0, ADDRESS: 1, NAME: 2, CODE: 3}
     busy = sorted((a, b) for _, a, b in taken)
-    out, k = [], 0
-    for m in _TOKEN.finditer(text):
-        token = m[0].strip(_TRIM)
-        if sum(c in "0123456789" for c in token) < LEAST_DIGITS:
-            continue
-        a = m.start() + len(m[0]) - len(m[0].lstrip(_TRIM))
-        b = a + len(token)
-        while k < len(busy) and busy[k][1] <= a:
-            k += 1
-        if k < len(busy) and busy[k][0] < b:
-            continue
-        out.append((a, b))
-    return out
+    for shapes in ((ASSIGNED,), (ADDRESS,), (NAME,), (CODE,)):
+        out, k = [], 0
+        for shape, a, b in sorted((c for c in found if c[0] in shapes), key=lambda c: (c[1], rank[c[0]])):
+            while k < len(busy) and busy[k][1] <= a:
+                k += 1
+            if a < b and not (k < len(busy) and busy[k][0] < b) and not (out and out[-1][1] > a):
+                out.append((a, b, shape))
+        busy = sorted([*busy, *out], key=lambda x: x[:2])
+    return [(x[2], x[0], x[1]) for x in busy if len(x) == 3]
+
+
+#: What a labeler is taken to be before it is seen: right in so many of so many votes. This fixes which class is the personal one.
+PRIOR_RIGHT, PRIOR_VOTES = 4.0, 5.0
 
 
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """Probability that a candidate is personal, for each pattern of votes, by expectation maximisation (Dawid and Skene).
+    """Probability that a candidate is personal, for each pattern of votes, by expectation maximisation.
 
-    Each labeler has its own chance of each opinion under either truth. The
-    start is the majority of votes; one pseudo-candidate per opinion keeps
-    chances off zero.
+    Each labeler has its own chance of voting for, where it votes, under either
+    truth; an abstention says nothing. The start is the majority of votes, and
+    each labeler begins with PRIOR_VOTES votes that are mostly right.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    v = np.array(patterns).reshape(len(patterns), -1) + 1
-    good = 1 / (1 + np.exp(-(v - 1).sum(axis=1).astype(float)))
+    v = np.array(patterns).reshape(len(patterns), -1)
+    good = 1 / (1 + np.exp(-v.sum(axis=1).astype(float)))
+    wrong = PRIOR_VOTES - PRIOR_RIGHT
     for _ in range(rounds):
-        weight = np.stack([(1 - good) * n, good * n])
-        share = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        log = np.log(share)[:, None] + np.zeros((2, len(patterns)))
-        for k in range(v.shape[1]):
-            chance = np.stack([np.bincount(v[:, k], w, 3) + 1 for w in weight])
-            log += np.log(chance / chance.sum(axis=1, keepdims=True))[:, v[:, k]]
-        good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        yes, no = good * n, (1 - good) * n
+        odds = np.full(len(patterns), np.log((yes.sum() + 1) / (no.sum() + 1)))
+        for x in v.T:
+            up, down = x > 0, x < 0
+            a = (yes[up].sum() + PRIOR_RIGHT) / (yes[up | down].sum() + PRIOR_VOTES)
+            b = (no[up].sum() + wrong) / (no[up | down].sum() + PRIOR_VOTES)
+            odds += up * np.log(a / b) + down * np.log((1 - a) / (1 - b))
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return dict(zip(patterns, good.tolist()))
 
 
@@ -212,51 +279,66 @@ def fit_classifier(counts: dict[tuple[tuple[int, ...], tuple[int, ...]], int], r
     return SpanClassifier(float(w[-1]), tuple(tuple(w[a:b].tolist()) for a, b in zip(offset, offset[1:])))
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter = Counter()
-        for t in batch.column(0):
-            text = t.as_py() or ""
-            for a, b in candidates(text, base_spans(text)):
-                seen[(*votes(text, a, b), *features(text, a, b))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
+def base_and_candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, list[int]]]]:
+    """Spans of the fixed kinds, and candidates as (kind, start, end, votes and bins): a code with letters is a secret, one without a number."""
+    base, more = base_spans(text), []
+    for shape, a, b in candidates(text, base):
+        kind = {NAME: "name", ADDRESS: "address", ASSIGNED: "secret"}.get(shape) or ADDED[not any(c.isalpha() for c in text[a:b])]
+        more.append((kind, a, b, [*votes(text, shape, a, b), *features(text, shape, a, b)]))
+    return base, more
 
 
-def train(docs: DataFrame, text_col: str = "text") -> SpanClassifier:
-    """Counts all candidates of all documents. What comes to the driver are counts by votes and bins, of which there is a fixed number."""
-    rows = docs.select(named(text_col).alias("text")).mapInArrow(_count, "code array<int>, n long")
+def train(found: DataFrame) -> SpanClassifier:
+    """Learns from all candidates of all documents. What comes to the driver are counts by votes and bins, of which there is a fixed number."""
     counts = {}
-    for code, n in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for code, n in found.select(F.explode("more.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[tuple(code[:LABELERS]), tuple(code[LABELERS:])] = n
     return fit_classifier(counts)
 
 
-def all_spans(text: str, model: SpanClassifier) -> list[tuple[str, int, int]]:
-    """Base spans, then added ones by kind and start: a secret has letters, a number none."""
-    base = base_spans(text)
-    added = []
-    for a, b in candidates(text, base):
-        if model.personal(features(text, a, b)):
-            added.append((ADDED[not any(c.isalpha() for c in text[a:b])], a, b))
+def chosen(base: list[tuple[str, int, int]], more: Iterable[tuple[str, int, int, list[int]]], model: SpanClassifier) -> list[tuple[str, int, int]]:
+    """Base spans, then what the classifier takes for personal, by kind and start."""
+    added = [(k, a, b) for k, a, b, code in more if model.personal(tuple(code[LABELERS:]))]
     return base + sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))
 
 
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_MORE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("code", pa.list_(pa.int32()))])
+
+
+def _searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans, more = [], []
+        for t in batch.column(1):
+            base, rest = base_and_candidates(t.as_py() or "")
+            spans.append([dict(zip(("kind", "start", "end"), x)) for x in base])
+            more.append([dict(zip(("kind", "start", "end", "code"), x)) for x in rest])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(more, pa.list_(_MORE))], ["doc_id", "spans", "more"])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, spans``, an array of (kind, start, end) in code points, end exclusive.
 
-    Base kinds come in the order of BASE, then what the classifier adds, each by
-    start. A span is added only where it touches no base span. Null text is
-    empty and has none. Repeated rows each get their row and each count in
-    training. An empty table gives an empty result; further columns are ignored.
+    Base kinds come in the order of BASE, then what the classifier adds in that
+    of ADDED, each by start. A span is added only where it touches no other.
+    Texts are searched once; base spans and candidates are written, the
+    classifier learns from the candidates and judges them.
+
+    Null text is empty and has none. Repeated rows each get their row and each
+    count in training. An empty table gives an empty result; further columns are
+    ignored.
     """
-    model = train(docs, text_col)
+    span = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
+    more = T.StructType(list(span.fields)).add("code", T.ArrayType(T.IntegerType()))
+    schema = T.StructType().add("doc_id", docs.schema[id_col].dataType).add("spans", T.ArrayType(span)).add("more", T.ArrayType(more))
+    found = written(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).mapInArrow(_searched, schema))
+    model = train(found)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t.as_py() or "", model)] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            spans = [chosen([tuple(x.values()) for x in base], (tuple(x.values()) for x in rest), model) for base, rest in rows]
+            out = [[dict(zip(("kind", "start", "end"), x)) for x in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(_SPAN))], ["doc_id", "spans"])
 
-    span = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
-    schema = T.StructType().add("doc_id", docs.schema[id_col].dataType).add("spans", T.ArrayType(span))
-    return docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).mapInArrow(emit, schema)
+    return found.mapInArrow(emit, T.StructType(schema.fields[:2]))

@@ -7,6 +7,7 @@ the mean over its lines, weighted by their lengths.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import named
 
-#: Bound of the training sample: so many labelled documents at most, of so many characters each at most.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
+#: Bound of the training sample: so many labelled documents at most, and of each so many lines in a row at most.
+TRAIN_DOCS, TRAIN_LINES = 4000, 250
 #: Fixed by the contract: documents with this remainder are never learnt from, and the decision.
 FOLDS, THRESHOLD = 5, 0.3
 ROUNDS, RATE, SHRINK = 300, 0.1, 1e-3
@@ -109,36 +110,47 @@ def marginals(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[
     return ahead, behind, 1 / (1 + np.exp(-np.clip(ahead + behind + odds, -500, 500)))
 
 
+def gradient(model: Model, codes: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the lines' labels ``y`` (0 bad, 1 good), by weight and by move."""
+    w, m = model.weights, model.moves
+    inner = np.ones(len(codes), bool)
+    inner[starts] = False
+    right = np.flatnonzero(inner)
+    left = right - 1
+    odds = w[codes].sum(axis=1)
+    ahead, behind, p = marginals(odds, starts, m)
+    slope = np.bincount(codes.ravel(), np.repeat(y - p, codes.shape[1]), len(w))
+    a, b = ahead[left] + odds[left], behind[right] + odds[right]
+    joint = np.stack([np.full(len(a), m[0, 0]), m[0, 1] + b, m[1, 0] + a, m[1, 1] + a + b])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    seen = np.array([np.sum((y[left] == u) & (y[right] == v)) for u in (0, 1) for v in (0, 1)])
+    return slope, (seen - joint.sum(axis=1)).reshape(2, 2)
+
+
 def fit(codes: np.ndarray, starts: np.ndarray, good: np.ndarray) -> Model:
     """Maximum likelihood by Adam, each line with its document's label; deterministic."""
     w, m = np.zeros(CODES), np.zeros((2, 2))
     if not len(codes):
         return Model(w, m)
-    n = np.diff(np.append(starts, len(codes)))
-    y = np.repeat(good.astype(float), n)
-    inner = np.ones(len(codes), bool)
-    inner[starts] = False
-    right = np.flatnonzero(inner)
-    left = right - 1
-    flat = codes.ravel()
-    width = codes.shape[1]
+    y = np.repeat(good.astype(float), np.diff(np.append(starts, len(codes))))
     first, second = np.zeros(CODES + 4), np.zeros(CODES + 4)
     for t in range(1, ROUNDS + 1):
-        odds = w[codes].sum(axis=1)
-        ahead, behind, p = marginals(odds, starts, m)
-        slope = np.bincount(flat, np.repeat(y - p, width), CODES)
-        a, b = ahead[left] + odds[left], behind[right] + odds[right]
-        joint = np.stack([np.full(len(a), m[0, 0]), m[0, 1] + b, m[1, 0] + a, m[1, 1] + a + b])
-        joint = np.exp(joint - joint.max(axis=0))
-        joint /= joint.sum(axis=0)
-        seen = np.array([np.sum((y[left] == u) & (y[right] == v)) for u in (0, 1) for v in (0, 1)])
-        g = np.append(slope, seen - joint.sum(axis=1)) / len(starts) - SHRINK * np.append(w, m.ravel())
+        slope, turn = gradient(Model(w, m), codes, starts, y)
+        g = np.append(slope, turn) / len(starts) - SHRINK * np.append(w, m.ravel())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, m = w + step[:CODES], m + step[CODES:].reshape(2, 2)
     return Model(w, m)
 
 
+def excerpt(text: bytes | None) -> np.ndarray:
+    """The codes of TRAIN_LINES lines in a row of a text, from a place that depends on the text; all lines of shorter ones."""
+    codes = line_codes(text)[0]
+    at = zlib.crc32(text or b"") % (len(codes) - TRAIN_LINES + 1) if len(codes) > TRAIN_LINES else 0
+    return codes[at : at + TRAIN_LINES]
+
+
 def score_texts(model: Model, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quality of each text, probability of good for each line, and where each text's lines begin."""
     pairs = [line_codes(t) for t in texts]
@@ -162,8 +174,9 @@ def training_fold(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns from a sample of labelled documents, TRAIN_DOCS at most, of those outside the held-out fold.
 
-    The sample is that of the smallest id hashes. Documents over TRAIN_CHARS
-    characters are not learnt from. Only bins of features come to the driver.
+    The sample is that of the smallest id hashes; of a document with many lines
+    an excerpt of TRAIN_LINES is learnt from. Only bins of features come to the
+    driver, 8 MB of them at most.
     Null labels and null ids are skipped; an id that occurs or is labelled
     several times counts as often, within the bound. Without any label, every text scores 0.5.
     """
@@ -173,12 +186,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("l_id"), "l_id", "good")
         .limit(TRAIN_DOCS)
     )
-    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("id") == F.col("l_id")).select(F.xxhash64("id").alias("place"), "good", F.col("text").cast("binary").alias("text"))
 
     def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [line_codes(t.as_py())[0].tobytes() for t in b.column(2)]
+            found = [excerpt(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["place", "good", "codes"])
 
     found = rows.mapInArrow(codes, "place long, good int, codes binary").orderBy("place", "good", "codes").limit(TRAIN_DOCS).collect()
@@ -215,7 +228,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows that are not predicted to be bad, with all their columns; nothing is shuffled."""
+    """The rows that are not predicted to be bad, with all their columns; nothing is shuffled.
+
+    Null text is an empty one; null ids and repeated rows are rows like others;
+    an empty table gives an empty result.
+    """
     model = train(docs, labels, id_col, text_col, label_col)
 
     @F.pandas_udf("double")

@@ -1,15 +1,18 @@
 """WARC records in ZIP archives, read by range without extraction.
 
-An archive holds two stored members: records, each a gzip member of its own,
-and an index of where each record begins. A reader parses the central directory
+An archive holds stored members: records, each a gzip member of its own, and a
+CDXJ index of where each record begins. A reader parses the central directory
 (of ZIP64 where there is one), finds the members, and reads records by their
-offsets in the file.
+offsets in the file. It takes archives of others too: several members of
+records, indexes by any name, packed or not, or none.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -29,7 +32,7 @@ ARCHIVE_BYTES, READ_BYTES, TASK_BYTES = 64 << 20, 1 << 20, 8 << 20
 #: Fixed names and texts of the format.
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2000-01-01T00:00:00Z"
+DATE, STAMP = "2000-01-01T00:00:00Z", "20000101000000"
 _BIG = 0xFFFFFFFF
 
 
@@ -50,23 +53,102 @@ def _name(page_id: int | None) -> str:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = (line.partition(":") for line in head.decode().split("\r\n")[1:])
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
     return {k.strip().lower(): v.strip() for k, _, v in lines}
 
 
+def _page(record_id: str | None) -> int | None:
+    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", record_id or "")
+    return int(m[1]) if m else None
+
+
+def _agrees(label: str | None, payload: bytes) -> bool:
+    """Whether a digest such as ``sha1:`` with hexadecimal or base-32 digits is that of the payload; unknown kinds agree."""
+    kind, _, value = (label or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    found = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+#: A record that cannot be read: all but ``damaged`` is null.
+DAMAGED = dict.fromkeys(("page_id", "record_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_record", "payload")) | {"damaged": True}
+
+
 def parse(raw: bytes) -> dict:
-    """A record's parts; length and digest of a payload that is there come from its bytes."""
+    """A record's parts. Length and SHA-1 of a payload that is there come from its bytes; ``damaged`` says that its digest disagrees or its end is missing."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     f = _fields(head)
+    if "warc-type" not in f or not f.get("content-length", "").isdigit():
+        return DAMAGED
     block = rest[: int(f["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda s: None if s is None or s == "<urn:page:none>" else int(s.removeprefix("<urn:page:").rstrip(">"))
-    out = {"page_id": page(f["warc-record-id"]), "url": f["warc-target-uri"], "record_type": f["warc-type"], "refers_to": page(f.get("warc-refers-to"))}
-    if f["warc-type"] == "revisit":
-        return out | {"payload_bytes": int(_fields(http)["content-length"]), "payload_digest": f["warc-payload-digest"].removeprefix("sha1:"), "payload": None}
+    kind, url = f["warc-type"], f.get("warc-target-uri")
+    out = {"page_id": _page(f.get("warc-record-id")), "record_id": f.get("warc-record-id"), "url": url and url.removeprefix("<").removesuffix(">"), "record_type": kind}
+    out |= {"refers_to": _page(f.get("warc-refers-to")), "refers_to_record": f.get("warc-refers-to"), "damaged": len(block) < int(f["content-length"])}
+    http, payload = b"", block
+    if f.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    if kind == "revisit":
+        length = _fields(http).get("content-length", "")
+        return out | {"payload_bytes": int(length) if length.isdigit() else None, "payload_digest": (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "payload": None}
+    out["damaged"] |= not _agrees(f.get("warc-payload-digest"), payload)
     return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload}
 
 
+def url_key(url: str | None) -> str:
+    """The host's parts in reverse, then the path, in lower case: what an index is sorted by. Without a host it is ``-``."""
+    m = re.match(r"(?s)[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*(.*)", url or "")
+    if not m:
+        return "-"
+    key = ",".join(reversed(m[1].lower().split("."))) + ")" + (m[2].partition("#")[0].lower() or "/")
+    return re.sub(r"\s", lambda c: "".join(f"%{b:02x}" for b in c[0].encode()), key)
+
+
+def index_line(url: str | None, sha1: str, revisit: bool, offset: int, length: int) -> str:
+    """A line of a CDXJ index: key, time stamp, JSON."""
+    about = {"url": url or "", "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha1:{sha1}"}
+    about |= {"length": str(length), "offset": str(offset), "filename": RECORDS.rpartition("/")[2]}
+    return f"{url_key(url)} {STAMP} {json.dumps(about)}\n"
+
+
+def index_entries(data: bytes) -> list[tuple[str, int, int]]:
+    """(file name, offset, length) of each line of an index that has them; other lines are left out."""
+    if data[:2] == b"\x1f\x8b":
+        plain = b""
+        while data[:2] == b"\x1f\x8b":  # a member each so many lines
+            unpack = zlib.decompressobj(31)
+            plain += unpack.decompress(data)
+            data = unpack.unused_data
+        data = plain
+    out = []
+    for line in data.decode("utf-8", "replace").splitlines():
+        about = line[line.find("{") :] if "{" in line else ""
+        try:
+            found = json.loads(about)
+            out.append((str(found["filename"]).rpartition("/")[2], int(found["offset"]), int(found["length"])))
+        except (ValueError, KeyError, TypeError):
+            continue
+    return out
+
+
+def scanned(read: Callable[[int, int], bytes], at: int, size: int, piece: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member between ``at`` and ``at + size``, for archives without an index."""
+    begin, pos, end, unpack = at, at, at + size, zlib.decompressobj(31)
+    while pos < end:
+        data = read(pos, min(piece, end - pos))
+        pos += len(data)
+        while data:
+            try:
+                unpack.decompress(data)
+            except zlib.error:
+                return
+            if not unpack.eof:
+                break
+            data = unpack.unused_data
+            yield begin - at, pos - len(data) - begin
+            begin, unpack = pos - len(data), zlib.decompressobj(31)
+
+
 def zip_stored(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> Iterator[bytes]:
     """The bytes of a ZIP archive of stored members; in ZIP64 form where sizes ask for it, or always."""
     at, entries = 0, []
@@ -98,8 +180,8 @@ def zip_stored(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> I
         yield struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, n, n, length, begin, 0)
 
 
-def stored_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
-    """Where the data of each stored member begins, and its length. ``read`` takes offset and length; compressed members are left out."""
+def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int, int]]:
+    """Of each member: 0 if it is stored, 8 if deflated; where its data begins, and their length. ``read`` takes offset and length."""
     tail = read(max(0, size - 65_557), min(size, 65_557))  # the end record, behind at most 65,535 bytes of comment
     at = tail.rfind(b"PK\5\6")
     if at < 0:
@@ -118,7 +200,7 @@ def stored_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tu
         sign, _, _, _, method, _, _, _, packed, plain, name, extra, comment, _, _, _, offset = struct.unpack_from("<IHHHHHHIIIHHHHHII", directory, p)
         if sign != 0x02014B50:
             raise ValueError("ZIP directory is damaged")
-        title = directory[p + 46 : p + 46 + name].decode()
+        title = directory[p + 46 : p + 46 + name].decode("utf-8", "replace")
         q, stop = p + 46 + name, p + 46 + name + extra
         while q + 4 <= stop:
             kind, n = struct.unpack_from("<HH", directory, q)
@@ -129,14 +211,19 @@ def stored_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tu
                 offset = next(wide) if offset == _BIG else offset
             q += 4 + n
         p = stop + comment
-        if method == 0:
-            local_name, local_extra = struct.unpack("<HH", read(offset + 26, 4))
-            out[title] = (offset + 30 + local_name + local_extra, packed)
+        local_name, local_extra = struct.unpack("<HH", read(offset + 26, 4))
+        out[title] = (method, offset + 30 + local_name + local_extra, packed)
     return out
 
 
+def stored_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
+    """Where the data of each stored member begins, and its length; compressed members are left out."""
+    return {k: (at, n) for k, (method, at, n) in zip_members(read, size).items() if method == 0}
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """Hadoop's spellings of a scheme are not all Arrow's."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", uri)))
 
 
 def with_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -174,7 +261,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             system.create_dir(path.rpartition("/")[0], recursive=True)
             n = 0
             with system.open_output_stream(path) as out:
-                for piece in zip_stored([(RECORDS, parts), (INDEX, ["".join(index).encode()])], zip64):
+                for piece in zip_stored([(RECORDS, parts), (INDEX, ["".join(sorted(index)).encode()])], zip64):
                     out.write(piece)
                     n += len(piece)
             return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(index)]), pa.array([n])], ["path", "n_records", "n_bytes"])
@@ -183,7 +270,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             for row in zip(*batch.columns):
                 packer = zlib.compressobj(3, zlib.DEFLATED, 31)
                 data = packer.compress(record(*(v.as_py() for v in row))) + packer.flush()
-                index.append(json.dumps({"offset": size, "length": len(data)}) + "\n")
+                index.append(index_line(row[1].as_py(), row[3].as_py(), row[5].as_py(), size, len(data)))
                 parts.append(data)
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -196,51 +283,78 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     return written(rows.mapInArrow(emit, "path string, n_records long, n_bytes long"))
 
 
+def located(read: Callable[[int, int], bytes], size: int) -> list[tuple[int, int]]:
+    """Offset in the file and length of every record of an archive: those that an index names, and all of a member of records that none names."""
+    members = zip_members(read, size)
+    base = {k.rpartition("/")[2]: v for k, v in members.items() if re.search(r"\.warc(\.gz)?$", k) and v[0] == 0}
+    found: dict[str, list] = {k: [] for k in base}
+    for name, (method, at, n) in members.items():
+        if re.search(r"\.cdxj?(\.gz)?$", name) and method in (0, 8):
+            data = read(at, n)
+            for file, offset, length in index_entries(zlib.decompress(data, -15) if method else data):
+                if file in base and 0 <= offset and offset + length <= base[file][2]:
+                    found[file].append((base[file][1] + offset, length))
+    for k, (_, at, n) in base.items():
+        found[k] = found[k] or [(at + offset, length) for offset, length in scanned(read, at, n)]
+    return sorted({x for records in found.values() for x in records})
+
+
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archive paths to stretches of records: (path, offset in the file, lengths)."""
+    """Archive paths to stretches of records: (path, offset in the file, offsets from there, lengths)."""
     for batch in batches:
         for uri in batch.column(0).to_pylist():
             system, path = _open(uri)
             with system.open_input_file(path) as f:
-                members = stored_members(lambda at, n: f.read_at(n, at), f.size())
-                base, _ = members[RECORDS]
-                at, n = members[INDEX]
-                rows = [json.loads(line) for line in f.read_at(n, at).splitlines()]
+                rows = located(lambda at, n: f.read_at(n, at), f.size())
             out, k = [], 0
             while k < len(rows):
-                first, lengths, total = rows[k]["offset"], [], 0
-                while k < len(rows) and (not lengths or total + rows[k]["length"] <= READ_BYTES):
-                    lengths.append(rows[k]["length"])
-                    total += lengths[-1]
+                first, offsets, lengths = rows[k][0], [], []
+                while k < len(rows) and (not lengths or rows[k][0] + rows[k][1] - first <= READ_BYTES):
+                    offsets.append(rows[k][0] - first)
+                    lengths.append(rows[k][1])
                     k += 1
-                out.append((uri, base + first, lengths))
-            kinds = pa.string(), pa.int64(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["path", "offset", "lengths"])
+                out.append((uri, first, offsets, lengths))
+            kinds = pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["path", "offset", "offsets", "lengths"])
+
+
+def _record(data: bytes) -> dict:
+    try:
+        return parse(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
+    except zlib.error:  # its check sum disagrees, too
+        return DAMAGED
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of ``archives`` (path, n_bytes): ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``.
+    """Records of ``archives`` (path, n_bytes): ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id, refers_to_record, damaged``.
 
     Indexes are read first, then stretches of records by range, in tasks of
-    their own however large an archive is. ``payload`` is null for revisits, and
-    for all without ``payloads``.
+    their own however large an archive is. A member of records that no index
+    names is scanned. ``payload`` is null for revisits, and for all without
+    ``payloads``; ``page_id`` and ``refers_to`` are null in archives of others,
+    whose records are named by ``record_id``.
+
+    Records are held against the check sum of their gzip member and their
+    payload digest: one that is cut off, disagrees or is no record gives a row
+    with ``damaged``. A file that is no ZIP archive is an error; a null path or
+    size is none; an empty table gives an empty result; further columns are
+    ignored.
     """
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_record": pa.string(), "damaged": pa.bool_()}
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, offset, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            for uri, offset, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns)):
                 system, path = _open(uri)
                 with system.open_input_file(path) as f:
-                    data = f.read_at(sum(lengths), offset)
-                out, at = [], 0
-                for n in lengths:
-                    got = parse(zlib.decompress(data[at : at + n], 31))
-                    out.append(got if payloads else got | {"payload": None})
-                    at += n
+                    data = f.read_at(max(a + n for a, n in zip(offsets, lengths)), offset)
+                out = [_record(data[a : a + n]) for a, n in zip(offsets, lengths)]
+                if not payloads:
+                    out = [r | {"payload": None} for r in out]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in kinds.items()], list(kinds))
 
     # rows that stand for much work are small: without a number, Spark would put them all into one task
     tasks = (archives.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES + 1
-    stretches = archives.select("path").repartition(tasks, "path").mapInArrow(_ranges, "path string, offset long, lengths array<long>").repartition(tasks, "path", "offset")
-    return stretches.mapInArrow(emit, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    stretches = archives.select("path").where("path is not null").repartition(tasks, "path").mapInArrow(_ranges, "path string, offset long, offsets array<long>, lengths array<long>").repartition(tasks, "path", "offset")
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_record string, damaged boolean"
+    return stretches.mapInArrow(emit, schema)

@@ -1,5 +1,9 @@
+import base64
+import gzip
 import hashlib
 import io
+import itertools
+import json
 import random
 import re
 import zipfile
@@ -64,6 +68,69 @@ def test_zip_directories():
         warc.stored_members(lambda at, n: b"x" * n, 100)
 
 
+def foreign_archive(path, records, index="plain", spoil=None):
+    """An archive in the public layout, made by the standard library: two members of records, of which the index leaves request records out."""
+    members, lines = {"one.warc.gz": b"", "two.warc.gz": b""}, []
+    for k, (kind, uri, block, extra) in enumerate(records):
+        name = list(members)[k % 2]
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Target-URI: {uri}\r\n{extra}Content-Type: application/http; msgtype={kind}\r\nContent-Length: {len(block)}\r\n\r\n"
+        data = gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
+        if spoil == k:
+            data = data[:-6] + bytes([data[-6] ^ 1]) + data[-5:]
+        if kind != "request":
+            lines.append(f'com,example)/{k} 20240131120000 {{"url": "{uri}", "offset": "{len(members[name])}", "length": {len(data)}, "filename": "{name}"}}')
+        members[name] += data
+    text = "\n".join(["!OpenWayback-CDXJ 1.0", *sorted(lines), ""]).encode()
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("datapackage.json", json.dumps({"profile": "data-package"}), zipfile.ZIP_DEFLATED)
+        z.writestr("pages/pages.jsonl", "{}\n")
+        for name, data in members.items():
+            z.writestr(f"archive/{name}", data)
+        if index == "plain":
+            z.writestr("indexes/index.cdxj", text)
+        elif index == "packed":  # gzip members of some lines each
+            rows = text.splitlines(True)
+            z.writestr("indexes/index.cdx.gz", b"".join(gzip.compress(b"".join(rows[k : k + 2])) for k in range(0, len(rows), 2)))
+        elif index == "deflated":
+            z.writestr("indexes/index.cdxj", text, zipfile.ZIP_DEFLATED)
+
+
+@pytest.mark.parametrize("index", ["plain", "packed", "deflated", "none"])
+def test_archives_of_others(spark, tmp_path, index):
+    body = lambda n: ("é" * n).encode()
+    http = lambda b: b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n" + b
+    digest = lambda b: "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode() + "\r\n"
+    records = []
+    for k in range(7):
+        records += [("response", f"http://example.com/{k}", http(body(k * 300)), digest(body(k * 300))), ("request", f"http://example.com/{k}", b"GET / HTTP/1.1\r\n\r\n", "")]
+    records += [("revisit", "http://example.com/r", http(b""), "WARC-Refers-To: <urn:uuid:0>\r\n" + digest(b"x")), ("response", "http://example.com/bad", http(b"changed"), digest(b"was"))]
+    foreign_archive(tmp_path / "a.wacz", records, index, spoil=4)
+    archives = spark.createDataFrame([(f"file:{tmp_path}/a.wacz", 10, 1), (None, None, 2)], "path string, n_bytes long, url int")
+    got = {r.record_id: r for r in warc.read_archives(spark, archives).collect() if r.record_type != "request"}
+    assert len([r for r in got.values() if r.damaged]) == (2 if index != "none" else 1) and (None in got) == (index != "none")
+    if index != "none":  # a scan ends at the damaged member
+        assert len(got) == 9 and got["<urn:uuid:15>"].damaged
+        for k in (0, 1, 3, 4, 5, 6):
+            r = got[f"<urn:uuid:{2 * k}>"]
+            assert (r.page_id, r.url, bytes(r.payload), r.payload_bytes, r.damaged) == (None, f"http://example.com/{k}", body(k * 300), 600 * k, False)
+        assert got["<urn:uuid:14>"].refers_to_record == "<urn:uuid:0>" and got["<urn:uuid:14>"].payload_bytes == 7
+
+
+def test_archive_without_an_index(spark, tmp_path):
+    foreign_archive(tmp_path / "b.wacz", [("response", f"http://example.com/{k}", b"HTTP/1.1 200 OK\r\n\r\n" + b"%d" % k * 2000, "") for k in range(9)], "none")
+    got = warc.read_archives(spark, spark.createDataFrame([(str(tmp_path / "b.wacz"), 1)], "path string, n_bytes long")).collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in got) == [(f"<urn:uuid:{k}>", b"%d" % k * 2000) for k in range(9)]
+
+
+def test_index_and_places():
+    line = warc.index_line("http://User@Www.Example.com:80/A b?x#f", "00", False, 5, 7)
+    assert line.startswith("com,example,www)/a%20b?x 20000101000000 {") and warc.index_entries(line.encode()) == [("data.warc.gz", 5, 7)]
+    assert warc.index_entries(b"no json\n- 2000 {\"offset\": 1}\n\xff {[\n") == []
+    assert warc.parse(b"no record")["damaged"] and warc.url_key(None) == warc.url_key("x") == "-"
+    for uri, want in (("file:/a/b", "/a/b"), ("file:///a", "/a")):
+        assert warc._open(uri)[1] == want
+
+
 # --- quality
 
 
@@ -83,6 +150,47 @@ def test_marginals_are_those_of_all_labelings():
         assert np.allclose(p[s : s + n], good / total)
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """Against differences of the likelihood, which sums over all labelings."""
+    rnd = np.random.default_rng(5)
+    sizes = [1, 3, 5]
+    starts = np.cumsum([0, *sizes[:-1]])
+    codes = rnd.integers(0, 6, (sum(sizes), 2))
+    y = np.repeat(np.array([1.0, 0.0, 1.0]), sizes)
+
+    def likelihood(x):
+        w, m, total = x[:6], x[6:].reshape(2, 2), 0.0
+        for s, n in zip(starts, sizes):
+            score = lambda z: sum(w[codes[s + j]].sum() * z[j] for j in range(n)) + sum(m[int(a), int(b)] for a, b in zip(z, z[1:]))  # noqa: E731, B023
+            total += score(y[s : s + n]) - np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=n)))
+        return total
+
+    x = rnd.normal(size=10)
+    slope, turn = quality.gradient(quality.Model(x[:6], x[6:].reshape(2, 2)), codes, starts, y)
+    for k in range(10):
+        d = np.zeros(10)
+        d[k] = 1e-5
+        assert abs((likelihood(x + d) - likelihood(x - d)) / 2e-5 - np.append(slope, turn)[k]) < 1e-6
+
+
+def test_training_ends_where_the_gradient_does():
+    docs = [b"Plain words stand in this line.\nAnd more of them, in peace.", b"$$$ ### %%% 99\n*** &&& ///\n$$$ 1 2 3"] * 8
+    chains = [quality.line_codes(d)[0] for d in docs]
+    sizes = np.array([len(c) for c in chains])
+    starts = np.cumsum(sizes) - sizes
+    codes, good = quality.chain_codes(np.concatenate(chains), starts), np.array([True, False] * 8)
+    model = quality.fit(codes, starts, good)
+    slope, turn = quality.gradient(model, codes, starts, np.repeat(good.astype(float), sizes))
+    rest = np.append(slope, turn) / len(starts) - quality.SHRINK * np.append(model.weights, model.moves.ravel())
+    assert np.abs(rest).max() < 0.01
+    assert quality.score_texts(model, docs[:1])[0][0] > 0.9 and quality.score_texts(model, docs[1:2])[0][0] < 0.1
+
+
+def test_long_documents_are_learnt_from_within_the_bound():
+    long = b"\n".join(b"line %d of words" % k for k in range(5000))
+    assert len(quality.excerpt(long)) == quality.TRAIN_LINES and len(quality.excerpt(b"a\nb")) == 2 and len(quality.excerpt(None)) == 1
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in registry.QUERIES["op5_quality"](spark, sf).collect()}
@@ -162,6 +270,105 @@ def test_pii_awkward(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+GIVEN = "Anna Peter Maria Omar Helen Karen Jean Yuki Laura Hans Kevin Olga".split()
+FAMILY = "Smith Keller Brown Novak Lopez Moreau Tanaka Weber Quint Abara".split()
+
+
+def planted(seed, n):
+    """Texts of plain words, each with one planted span or one that only looks like one: (id, text, kind or None, start, end)."""
+    rnd = random.Random(seed)
+    pick = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
+    hexa, alnum, digit, low = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    make = {
+        "hex": lambda: ("secret", 'token = "', pick(hexa, 38) + "a7", '"'),
+        "key": lambda: ("secret", "api_key: ", "sk_live_" + pick(alnum, 24), ""),
+        "uuid": lambda: ("secret", "secret=", "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ""),
+        "phrase": lambda: ("secret", "password: ", "-".join(pick(low, rnd.randint(4, 8)) for _ in range(3)), ""),
+        "word": lambda: ("secret", "passphrase is ", pick(low, 12).capitalize(), ""),
+        "account": lambda: ("number", "account: ", pick(digit, 1).replace("0", "1") + pick(digit, 19), ""),
+        "ssn": lambda: ("number", "SSN ", f"{pick('12345678', 3)}-{pick('12345678', 2)}-{pick('12345678', 4)}", ""),
+        "iban": lambda: ("secret", "IBAN ", "DE" + pick("123456789", 20), ""),
+        "name": lambda: ("name", "contact ", f"{rnd.choice(GIVEN)} {rnd.choice(FAMILY)}", " about it"),
+        "titled": lambda: ("name", "signed by ", f"Dr {rnd.choice(GIVEN)} {rnd.choice(FAMILY)}", " then"),
+        "address": lambda: ("address", "lives at ", f"{rnd.randint(1, 400)} {rnd.choice(['Oak', 'Mill', 'King', 'High'])} {rnd.choice(['Street', 'Road', 'Lane', 'Avenue'])}", ", near"),
+        "strasse": lambda: ("address", "wohnt ", f"{rnd.choice(['Haupt', 'Bahnhof', 'Garten'])}straße {rnd.randint(1, 99)}", " now"),
+        "year": lambda: (None, "in ", str(rnd.randint(1900, 2020)), " then"),
+        "page": lambda: (None, "page ", str(rnd.randint(1, 900)), " of it"),
+        "version": lambda: (None, "version ", f"{rnd.randint(1, 9)}.{rnd.randint(0, 20)}", " and"),
+        "date": lambda: (None, "on ", f"{rnd.randint(1, 28)}/{rnd.randint(1, 12)}/{rnd.randint(1990, 2020)}", " it"),
+        "count": lambda: (None, "about ", f"{rnd.randint(1, 99)},{rnd.randint(100, 999)}", " of them"),
+        "ordinal": lambda: (None, "the ", f"{rnd.randint(4, 19)}th", " of them"),
+        "school": lambda: (None, "the ", f"{rnd.choice(GIVEN)} {rnd.choice(FAMILY)} {rnd.choice(['University', 'Museum', 'Park', 'Award'])}", " opened"),
+    }
+    out = []
+    words = lambda: " ".join(pick(low, rnd.randint(2, 8)) for _ in range(rnd.randint(3, 30)))
+    for i in range(n):
+        what = list(make)[i % len(make)]
+        kind, before, span, after = make[what]()
+        start = words() + " " + before
+        out.append((i, f"{start}{span}{after} {words()}.", what, kind, len(start), len(start) + len(span)))
+    return out
+
+
+def test_recall_and_precision_over_planted_kinds(spark):
+    rows = planted(1, 1900)
+    found = {r.doc_id: {tuple(s) for s in r.spans} for r in pii.find_pii(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    hit, false = Counter(), Counter()
+    for i, _, what, kind, a, b in rows:
+        hit[what] += kind is not None and any(x < b and a < y for _, x, y in found[i])
+        false[what] += sum(1 for k, x, y in found[i] if k in pii.ADDED and (kind is None or y <= a or b <= x))
+    personal = [w for w in hit if any(r[2] == w and r[3] for r in rows)]
+    assert sum(hit[w] for w in personal) >= 0.95 * 100 * len(personal) and min(hit[w] for w in personal) >= 90, hit
+    assert sum(false.values()) <= 0.02 * 1900, false
+
+
+def test_digit_free_secrets_are_candidates():
+    for text in ("password: correct-horse-battery", "the secret = 'hunter'", "API_KEY=abcdefgh"):
+        base, more = pii.base_and_candidates(text)
+        assert not base and [text[a:b] for _, a, b, _ in more] == [re.split("[=:] ?'?", text)[1].rstrip("'")]
+
+
+def test_reliabilities_against_a_plain_version():
+    """The same expectation maximisation, candidate by candidate."""
+    rnd = random.Random(7)
+    votes_ = [tuple(rnd.choice((-1, 0, 1, 1 if k % 3 else -1)) for k in range(4)) for _ in range(200)]
+    good = [1 / (1 + np.exp(-sum(v))) for v in votes_]
+    for _ in range(60):
+        share = (sum(good) + 1, sum(1 - g for g in good) + 1)
+        chance = []
+        for k in range(4):
+            voted = [(v[k], g) for v, g in zip(votes_, good) if v[k]]
+            chance.append(((sum(g for x, g in voted if x > 0) + 4) / (sum(g for _, g in voted) + 5), (sum(1 - g for x, g in voted if x > 0) + 1) / (sum(1 - g for _, g in voted) + 5)))
+        new = []
+        for v in votes_:
+            yes, no = share
+            for x, (a, b) in zip(v, chance):
+                if x:
+                    yes, no = yes * (a if x > 0 else 1 - a), no * (b if x > 0 else 1 - b)
+            new.append(yes / (yes + no))
+        good = new
+    p = pii.reliabilities(Counter(votes_))
+    assert max(abs(p[v] - g) for v, g in zip(votes_, good)) < 1e-9
+
+
+def test_classifier_stands_where_its_gradient_is_zero():
+    rnd = random.Random(2)
+    counts = Counter()
+    for _ in range(300):
+        bins = tuple(rnd.randrange(n) for n in pii.BINS)
+        counts[tuple(rnd.choice((-1, 0, 1)) if k else (1 if bins[1] > 3 else -1) for k in range(pii.LABELERS)), bins] += 1
+    model, by_votes = pii.fit_classifier(counts), Counter()
+    for (v, _), n in counts.items():
+        by_votes[v] += n
+    truth = pii.reliabilities(by_votes)
+    total, slope = sum(counts.values()), [np.zeros(n) for n in pii.BINS]
+    for (v, b), n in counts.items():
+        p = 1 / (1 + np.exp(-(model.bias + sum(w[x] for w, x in zip(model.weights, b)))))
+        for s, x in zip(slope, b):
+            s[x] += n * (truth[v] - p) / total
+    assert max(np.abs(s - 1e-4 * np.array(w)).max() for s, w in zip(slope, model.weights)) < 1e-6
+
+
 def test_reliabilities_find_the_better_labeler():
     rnd = random.Random(1)
     counts, truth = Counter(), {}
