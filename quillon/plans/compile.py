@@ -3,7 +3,10 @@
 Every scanned column gets an id that is unique in the tree, so self joins and
 dotted names are never ambiguous to Spark; the query's names live beside the
 DataFrame and are put on once, at the root. Nothing is scheduled here: joins,
-their order and strategy, pushed filters and pruned columns are Catalyst's.
+their order and strategy, pushed filters and pruned columns are Catalyst's. Two
+things it cannot know are settled here: which columns a source that Catalyst
+cannot prune has to decode, and whether a product that no predicate joins is
+meant.
 """
 
 from __future__ import annotations
@@ -21,6 +24,16 @@ from quillon.plans.resolve import Field, resolve
 from quillon.sources.catalog import Catalog
 
 
+#: A product that no predicate joins may have so many pairs, unless told otherwise.
+MOST_PAIRS = 1_000_000_000
+#: Ways to join that a caller may ask for; without one Catalyst chooses.
+JOINS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
+
+
+class CrossTooLarge(ValueError):
+    """A product of two inputs that no predicate joins, with more pairs than allowed."""
+
+
 def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
@@ -33,20 +46,58 @@ def _condition(p: Predicate, fields: list[Field]) -> Column:
     return comparison_with_literal(p.op, left.column, left.kind, p.value)
 
 
+def _last(name: str) -> str:
+    return name.rpartition(".")[2]
+
+
+def _named_columns(q: Query) -> set[str]:
+    """The last parts of all names in predicates, keys and projections."""
+    if isinstance(q, Scan):
+        return set()
+    if isinstance(q, Cross):
+        return _named_columns(q.left) | _named_columns(q.right)
+    if isinstance(q, Filter):
+        own = {p.column for p in q.predicates} | {p.value.name for p in q.predicates if isinstance(p.value, Ref)}
+    else:
+        own = {src for src, _ in q.columns} if isinstance(q, Project) else {k.column for k in q.keys}
+    return {_last(c) for c in own} | _named_columns(q.child)
+
+
+def _all_projected(q: Query) -> bool:
+    """Whether every scan stands under a Project, so that columns without a name in the query are not asked for."""
+    if isinstance(q, Project):
+        return True
+    if isinstance(q, Cross):
+        return _all_projected(q.left) and _all_projected(q.right)
+    return not isinstance(q, Scan) and _all_projected(q.child)
+
+
 class _Compiler:
-    def __init__(self, catalog: Catalog):
-        self._catalog, self._next = catalog, count()
+    def __init__(self, catalog: Catalog, columns: set[str] | None, join: str | None, most_pairs: int | None):
+        self._catalog, self._columns, self._join, self._most_pairs, self._next = catalog, columns, join, most_pairs, count()
+        self._tables: dict[str, int] = {}  # id to number of its scan
+        self._links: list[tuple[str, str]] = []  # ids that predicates compare with each other
+        self._literals: list[tuple[str, Column]] = []  # id and condition of other predicates
+        self._products: list[list[tuple[DataFrame, list[Field]]]] = []
 
     def visit(self, q: Query) -> tuple[DataFrame, list[Field]]:
         return getattr(self, f"_{type(q).__name__.lower()}")(q)
 
     def _scan(self, q: Scan) -> tuple[DataFrame, list[Field]]:
-        df = self._catalog.table(q.table)
+        df = self._catalog.table(q.table, self._columns)
         fields = [Field(f"{q.table}.{f.name}", f"c{next(self._next)}", f.dataType) for f in df.schema.fields]
+        scan = len(set(self._tables.values()))
+        self._tables |= {f.id: scan for f in fields}
         return df.select(*(_quoted(s.name).alias(f.id) for s, f in zip(df.schema.fields, fields))), fields
 
     def _filter(self, q: Filter) -> tuple[DataFrame, list[Field]]:
         df, fields = self.visit(q.child)
+        for p in q.predicates:
+            left = resolve(p.column, fields).id
+            if isinstance(p.value, Ref):
+                self._links.append((left, resolve(p.value.name, fields).id))
+            else:
+                self._literals.append((left, _condition(p, fields)))
         return (df.where(reduce(and_, (_condition(p, fields) for p in q.predicates))) if q.predicates else df), fields
 
     def _project(self, q: Project) -> tuple[DataFrame, list[Field]]:
@@ -60,7 +111,8 @@ class _Compiler:
 
     def _cross(self, q: Cross) -> tuple[DataFrame, list[Field]]:
         (left, a), (right, b) = self.visit(q.left), self.visit(q.right)
-        return left.crossJoin(right), a + b
+        self._products.append([(left, a), (right, b)])
+        return left.crossJoin(right.hint(self._join) if self._join else right), a + b
 
     def _sort(self, q: Sort) -> tuple[DataFrame, list[Field]]:
         df, fields = self.visit(q.child)
@@ -68,13 +120,38 @@ class _Compiler:
         return (df.orderBy(*(c.asc() if up else c.desc() for c, up in keys)) if keys else df), fields
 
 
-def compile_query(query: Query, catalog: Catalog, qualified: bool = False) -> DataFrame:
+    def check_products(self) -> None:
+        """Raises for a product that no predicate joins, directly or by way of other tables, and that has too many pairs of rows. Only for such products rows are counted."""
+        group = {t: t for t in self._tables.values()}
+        for x, y in self._links:
+            one, other = group[self._tables[x]], group[self._tables[y]]
+            group = {t: other if g == one else g for t, g in group.items()}
+        for sides in self._products:
+            left, right = ({group[self._tables[f.id]] for f in fields} for _, fields in sides)
+            if not left.isdisjoint(right):
+                continue
+            rows = []
+            for df, fields in sides:
+                own = [condition for i, condition in self._literals if i in df.columns and any(f.id == i for f in fields)]
+                rows.append((df.where(reduce(and_, own)) if own else df).count())
+            if rows[0] * rows[1] > self._most_pairs:
+                raise CrossTooLarge(f"a product of {rows[0]} and {rows[1]} rows that no predicate joins; at most {self._most_pairs} pairs are allowed")
+
+
+def compile_query(query: Query, catalog: Catalog, qualified: bool = False, join: str | None = None, most_pairs: int | None = MOST_PAIRS) -> DataFrame:
     """The DataFrame of a query.
 
     Output columns drop their table part where the rest is unique; with
-    ``qualified`` they keep it.
+    ``qualified`` they keep it. ``join`` is one of JOINS, for all joins of the
+    query. A Cross that no predicate joins is counted, and is an error where it
+    has over ``most_pairs`` pairs; None allows any.
     """
-    df, fields = _Compiler(catalog).visit(query)
-    short = [f.name.rpartition(".")[2] for f in fields]
+    if join is not None and join not in JOINS:
+        raise ValueError(f"unknown way to join {join!r}; known: {', '.join(JOINS)}")
+    compiler = _Compiler(catalog, _named_columns(query) if _all_projected(query) else None, join, most_pairs)
+    df, fields = compiler.visit(query)
+    if most_pairs is not None:
+        compiler.check_products()
+    short = [_last(f.name) for f in fields]
     names = [f.name if qualified or short.count(s) > 1 else s for f, s in zip(fields, short)]
     return df.select(*(f.column.alias(n) for f, n in zip(fields, names)))

@@ -77,7 +77,26 @@ LIBRARY: dict[str, tuple[Query, str]] = {
         pick(where(cross(_S("supplier"), _S("customer")), P("s_acctbal", ">", Ref("c_acctbal")), P("c_acctbal", "<", -500)), "s_suppkey", "c_custkey"),
         "select s_suppkey, c_custkey from supplier, customer where s_acctbal>c_acctbal and c_acctbal<-500",
     ),
-    "join_int32_int64": (pick(where(cross(_S("supplier"), _S("nation")), eq("s_nationkey", "n_nationkey")), "s_name", "n_name"), "select s_name, n_name from supplier, nation where s_nationkey=n_nationkey"),
+    "join_int32_int32": (pick(where(cross(_S("supplier"), _S("nation")), eq("s_nationkey", "n_nationkey")), "s_name", "n_name"), "select s_name, n_name from supplier, nation where s_nationkey=n_nationkey"),
+    "join_int32_int64": (pick(where(cross(_S("supplier"), _S("nation")), eq("s_suppkey", "n_nationkey")), "s_name", "n_name"), "select s_name, n_name from supplier, nation where s_suppkey=n_nationkey"),
+    "filter_int32_double": (where(_S("lineitem"), P("l_linenumber", ">=", Ref("l_quantity"))), "select * from lineitem where l_linenumber>=l_quantity"),
+    "filter_int64_double": (where(_S("orders"), P("o_custkey", ">", Ref("o_totalprice"))), "select * from orders where o_custkey>o_totalprice"),
+    "join_sort_merge": (
+        pick(where(cross(_S("customer"), _S("orders")), eq("c_custkey", "o_custkey"), P("o_orderpriority", "=", "1-URGENT")), "c_name", "o_orderkey", "o_totalprice"),
+        "select c_name, o_orderkey, o_totalprice from customer, orders where c_custkey=o_custkey and o_orderpriority='1-URGENT'",
+    ),
+    "join_shuffle_hash": (
+        pick(where(cross(_S("orders"), _S("lineitem")), eq("o_orderkey", "l_orderkey"), P("l_quantity", ">", 30)), "o_orderkey", "o_custkey", "l_quantity"),
+        "select o_orderkey, o_custkey, l_quantity from orders, lineitem where o_orderkey=l_orderkey and l_quantity>30",
+    ),
+    "join_skewed_keys": (  # seven keys on the one side, each a seventh of it
+        pick(where(cross(_S("lineitem"), _S("supplier")), eq("l_linenumber", "s_nationkey"), P("l_quantity", ">", 45), P("s_acctbal", ">", 9000)), "l_orderkey", "l_linenumber", "s_suppkey"),
+        "select l_orderkey, l_linenumber, s_suppkey from lineitem, supplier where l_linenumber=s_nationkey and l_quantity>45 and s_acctbal>9000",
+    ),
+    "sort_after_join": (
+        Sort(pick(where(cross(_S("nation"), _S("supplier")), eq("n_nationkey", "s_nationkey")), "n_name", "s_name", "s_acctbal"), (SortKey("n_name", False), SortKey("s_acctbal"))),
+        "select n_name, s_name, s_acctbal from nation, supplier where n_nationkey=s_nationkey order by n_name desc, s_acctbal",
+    ),
     "join_three_way": (
         pick(where(cross(_S("customer"), _S("orders"), _S("lineitem")), eq("c_custkey", "o_custkey"), eq("o_orderkey", "l_orderkey"), P("l_quantity", ">", 45)), "c_name", "o_orderkey", "l_quantity"),
         "select c_name,o_orderkey,l_quantity from customer,orders,lineitem where c_custkey=o_custkey and o_orderkey=l_orderkey and l_quantity>45",
@@ -118,3 +137,6 @@ LIBRARY: dict[str, tuple[Query, str]] = {
     ),
     "sort_then_project": (pick(Sort(_S("supplier"), (SortKey("s_acctbal", False),)), "s_name"), "select s_name from supplier order by s_acctbal desc"),
 }
+
+#: How :func:`quillon.plans.compile.compile_query` is to join some of them, so that each strategy is run on tables of any size.
+OPTIONS: dict[str, dict] = {"join_sort_merge": {"join": "merge"}, "join_shuffle_hash": {"join": "shuffle_hash"}, "join_skewed_keys": {"join": "merge"}}

@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 from quillon import Catalog, Cross, Filter, Predicate as P, Project, Ref, Scan, Sort, SortKey, compile_query
 from quillon.functions.render import render_double, render_rows
 from quillon.plans.codec import from_json, to_json
-from quillon.plans.library import LIBRARY
+from quillon.plans.compile import CrossTooLarge
+from quillon.plans.library import LIBRARY, OPTIONS
 from quillon.plans.resolve import ResolutionError
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +34,7 @@ def bag(rows):
 @pytest.mark.parametrize("name", LIBRARY)
 def test_library_matches_sql(spark, duck, name):
     query, sql = LIBRARY[name]
-    df = compile_query(query, Catalog(spark, SF))
+    df = compile_query(query, Catalog(spark, SF), **OPTIONS.get(name, {}))
     con = duck.execute(sql)
     assert df.columns == [d[0] for d in con.description]
     assert bag(df.collect()) == bag(con.fetchall())
@@ -128,10 +129,67 @@ def test_plans(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan("project_subset")
 
 
-def test_analyze_gives_the_same_rows(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_ways_to_join(spark):
+    query = LIBRARY["join_sort_merge"][0]
+    for join, node in (("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin")):
+        assert node in plan_of(compile_query(query, Catalog(spark, SF), join=join))
+    with pytest.raises(ValueError, match="way to join"):
+        compile_query(query, Catalog(spark, SF), join="magic")
+
+
+def test_skewed_join_is_split(spark):
+    """A key that half of all rows have: the same rows, and adaptive execution deals its partition over several tasks."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 7, id) k", "sha2(cast(id as string), 512) v")
+    c = Catalog(spark, tables={"a": rows, "b": spark.range(3000).selectExpr("id k", "id w")})
+    sets = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in sets}
+    try:
+        for k, v in sets.items():
+            spark.conf.set(k, v)
+        df = compile_query(Filter(Cross(Scan("a"), Scan("b")), (P("a.k", "=", Ref("b.k")),)), c, join="merge")
+        assert len(df.collect()) == 20_000 + 1500 and "skew=true" in plan_of(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_products_are_guarded(spark):
+    c = tables(spark, a=([(k,) for k in range(30)], "x int"), b=([(k,) for k in range(40)], "y int"), d=([(k, k) for k in range(5)], "z int, w int"))
+    product = Cross(Scan("a"), Scan("b"))
+    with pytest.raises(CrossTooLarge, match="30 and 40"):
+        compile_query(product, c, most_pairs=1000)
+    assert compile_query(product, c, most_pairs=1200).count() == compile_query(product, c, most_pairs=None).count() == 1200
+    # literals count, predicates that join lift the guard, also by way of a third table
+    assert compile_query(Filter(product, (P("x", "<", 3), P("y", "=", 1))), c, most_pairs=3).count() == 3
+    assert compile_query(Filter(product, (P("x", "<", Ref("y")),)), c, most_pairs=1).count() > 1
+    linked = Filter(Cross(product, Scan("d")), (P("x", "=", Ref("z")), P("w", "=", Ref("y"))))
+    assert compile_query(linked, c, most_pairs=1).count() == 5
+    with pytest.raises(CrossTooLarge):
+        compile_query(Filter(Cross(product, Scan("d")), (P("x", "=", Ref("z")),)), c, most_pairs=1)
+
+
+def test_statistics_reach_catalyst_without_a_cache(spark):
     c = Catalog(spark, SF)
+    assert compile_query(LIBRARY["join_equi_1key"][0], c).count() == 25
     c.analyze("nation")
+    c.declare("region", rows=123_456, columns={"r_regionkey": {"distinct": 5, "min": 0, "max": 4}, "r_name": {"distinct": 5}})
     assert compile_query(LIBRARY["join_equi_1key"][0], c).count() == 25
+    spark.conf.set("spark.sql.cbo.enabled", "true")
+    try:
+        for name, rows in (("nation", 25), ("region", 123_456)):
+            stats = c.table(name)._jdf.queryExecution().optimizedPlan().stats()
+            assert int(stats.rowCount().get()) == rows and stats.attributeStats().nonEmpty()
+            assert "InMemory" not in plan_of(c.table(name))
+        some = compile_query(Filter(Scan("region"), (P("r_regionkey", "=", 2),)), c)
+        assert int(some._jdf.queryExecution().optimizedPlan().stats().rowCount().get()) == -(-123_456 // 5)
+    finally:
+        spark.conf.set("spark.sql.cbo.enabled", "false")
+    with pytest.raises(ValueError):
+        Catalog(spark, tables={"t": spark.range(3)}).analyze("t")
 
 
 @pytest.mark.parametrize("seed", range(12))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quillon import Catalog, Filter, Predicate, Project, Scan, Sort, SortKey, compile_query
 from quillon.plans.codec import to_json
 from quillon.sources import read_row_blocks, write_rows
-from quillon.sources.row_blocks import decode_block, encode_rows
+from quillon.sources.row_blocks import decode_blocks, encode_rows
 
 SCHEMA = T.StructType().add("i", "integer").add("n", "long").add("f", "float").add("d", "double").add("s", "string")
 ROWS = [(k, 2**53 + k, 0.5 * k, k / 3, "é" * (k % 30)) for k in range(500)] + [(-1, -(2**63), float("inf"), float("-inf"), "")]
@@ -29,11 +29,47 @@ def test_row_blocks(spark, tmp_path):
     config = {"tables": [{"name": "t", "path": str(tmp_path / "t"), "format": "row_blocks", "block_size": 256, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in SCHEMA.fields]}]}
     got = compile_query(Filter(Scan("t"), (Predicate("i", "<", 3),)), Catalog.from_config(spark, config))
     assert sorted(r.i for r in got.collect()) == [-1, 0, 1, 2]
+    # only named columns are decoded, where a projection says what is asked for
+    catalog = Catalog.from_config(spark, config)
+    some = compile_query(Project(Filter(Scan("t"), (Predicate("i", "<", 3),)), (("s", "s"),)), catalog)
+    assert sorted(r.s for r in some.collect()) == sorted(s for i, *_, s in ROWS if i < 3)
+    assert catalog.table("t", {"s", "i"}).columns == ["i", "s"] and read_row_blocks(spark, str(tmp_path / "t"), SCHEMA, 256, columns=()).count() == len(ROWS)
+    (tmp_path / "t" / "part").write_bytes(data[:-100])
+    with pytest.raises(Exception):
+        read_row_blocks(spark, str(tmp_path / "t"), SCHEMA, 256).collect()
+
+
+def one_by_one(block):
+    """The rows of a block, value by value."""
+    rows, at = [], 0
+    for _ in range(struct.unpack_from("<H", block, len(block) - 2)[0]):
+        row = []
+        for form in ("<i", "<q", "<f", "<d"):
+            row.append(struct.unpack_from(form, block, at)[0])
+            at += struct.calcsize(form)
+        end = block.index(b"\0", at)
+        rows.append((*row, block[at:end].decode("utf-8", "replace")))
+        at = end + 1
+    return rows
+
+
+def test_blocks_decode_as_value_by_value():
+    rows = [(k * 256, k << 40, 0.25 * k, -k / 7, "aé\u20ac"[: k % 4] * (k % 11)) for k in range(300)]
+    data = encode_rows(rows, KINDS, 200)
+    data += encode_rows(rows[:1], KINDS, 200).replace(struct.pack("<d", 0.0) + b"\0", struct.pack("<d", 0.0) + b"\xff\xfe\0", 1)[:200].ljust(200, b"\0")
+    blocks = [data[k : k + 200] for k in range(0, len(data), 200)]
+    blocks[-1] = blocks[-1][:198] + struct.pack("<H", 1)
+    want = [r for b in blocks for r in one_by_one(b)]
+    found = decode_blocks(b"".join(blocks), 200, KINDS)
+    assert list(zip(*(c.to_pylist() for c in found))) == want
+    assert decode_blocks(b"".join(blocks), 200, KINDS, [4, 0])[1].to_pylist() == [r[4] for r in want]
 
 
 def test_row_block_limits(spark):
     assert encode_rows([], KINDS, 64) == b""
-    assert decode_block(b"x" * 6 + struct.pack("<H", 0), KINDS) == [[], [], [], [], []]
+    assert [c.to_pylist() for c in decode_blocks(b"x" * 6 + struct.pack("<H", 0), 8, KINDS)] == [[], [], [], [], []]
+    with pytest.raises(ValueError):
+        decode_blocks(b"x" * 62 + struct.pack("<H", 9), 64, KINDS[:4])
     for bad in ((1, 1, 1.0, 1.0, None), (1, 1, 1.0, 1.0, "a\0b"), (1, 1, 1.0, 1.0, "x" * 300)):
         with pytest.raises(ValueError):
             encode_rows([bad], KINDS, 256)
