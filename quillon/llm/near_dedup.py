@@ -4,7 +4,8 @@ One hash per word shingle falls into one of BUCKETS buckets; a bucket's
 register keeps the leading zeros of its smallest hash and a few bits behind
 them. Bands of registers propose documents; registers estimate their
 similarity, corrected for registers that agree by chance; full shingle sets
-decide.
+decide. Sets are sets of 64-bit hashes of shingles: two different shingles of a
+pair of documents fall together at odds of about 1e-13 for 1,000 shingles each.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ PERCENT = 85
 BANDS, BAND_ROWS = 36, 5
 BUCKETS = BANDS * BAND_ROWS
 MANTISSA = 10
-#: Estimates that lie so many standard errors under the threshold are not verified. Sets smaller than EXACT_BELOW always are, as they fill too few buckets.
-SLACK, EXACT_BELOW = 7.0, 400
+#: Estimates that lie so many standard errors under the threshold are not verified.
+SLACK = 7.0
 #: Sets compared in one go: so many, and of so many shingles together.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 
@@ -115,23 +116,34 @@ def estimates(regs: np.ndarray, one: np.ndarray, size: float) -> np.ndarray:
     return ((regs == one).mean(axis=1) - c) / (1 - c)
 
 
+def least_estimate(size: np.ndarray, percent: int) -> np.ndarray:
+    """The estimate from which on a pair is verified, by the size of its smaller set.
+
+    Only as many registers tell something as buckets are filled; those that
+    borrow a register repeat it, which adds to the error. Sets of a few shingles
+    are always verified, as the bound is negative there.
+    """
+    t = percent / 100
+    full = -BUCKETS * np.expm1(np.maximum(size, 1) * np.log1p(-1 / BUCKETS))
+    return t - SLACK * np.sqrt(t * (1 - t) * (1 / full + (BUCKETS - full) / BUCKETS**2))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all that linked pairs connect; with ``side``, of pairs from different sides.
 
-    A pair is skipped only if links found before connect it, if sizes alone
-    rule it out, or if its estimate lies far under the threshold.
+    A pair is skipped only if links found before, or those that made ``group``,
+    connect it, if sizes alone rule it out, or if its estimate lies far under
+    the threshold.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     regs = np.stack([registers(s) for s in sets])
-    group = np.arange(n)
-    t = percent / 100
-    floor = t - SLACK * (t * (1 - t) / BUCKETS) ** 0.5
+    group = np.arange(n) if group is None else group.copy()
     found = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
@@ -141,7 +153,7 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, perce
         if not len(j):
             continue
         guess = estimates(regs[j], regs[i], float(size[i]))
-        ok = (guess >= floor) | (size[j] < EXACT_BELOW) | (size[i] < EXACT_BELOW)
+        ok = guess >= least_estimate(np.minimum(size[j], size[i]), percent)
         for k in j[ok][np.argsort(-guess[ok], kind="stable")]:
             if group[k] != group[i] and linked(sets[i], sets[k], percent):
                 found.append((i, int(k)))
@@ -165,22 +177,33 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, blocks, digest, text) to (part, blocks, digest, shingles)."""
+    """(part, node, n, digest, text) to (part, node, n, digest, registers, shingles)."""
     for batch in batches:
-        sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["part", "blocks", "digest", "shingles"])
+        sets = [shingle_set(t.as_py()) for t in batch.column(4)]
+        regs = [registers(s).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(regs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], _SETS_NAMES)
+
+
+_SETS = "part long, node long, n long, digest binary, registers binary, shingles binary"
+_SETS_NAMES = [c.split()[0] for c in _SETS.split(", ")]
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, low, high, block, digest, shingles) in the order of the first three to links between digests."""
+    """Rows (part, low, high, block, digest, label, shingles) in the order of the first three to links between digests."""
 
     def of(rows: list) -> list[tuple[bytes, bytes]]:
-        rows = list({d: (d, s, b) for b, d, s in rows}.values())  # one of each set
+        rows = list({d: (d, s, b, g) for b, d, g, s in rows}.values())  # one of each set
         if len(rows) < 2:
             return []
-        side = np.array([b for _, _, b in rows])
-        sets = [np.frombuffer(s, np.uint64) for _, s, _ in rows]
-        return [(rows[i][0], rows[j][0]) for i, j in spanning_links(sets, side if side.min() != side.max() else None, percent)]
+        side = np.array([b != rows[0][2] for _, _, b, _ in rows])
+        sets = [np.frombuffer(s, np.uint64) for _, s, _, _ in rows]
+        labels: dict[bytes, int] = {}
+        group = np.array([labels.setdefault(g, len(labels)) for *_, g in rows])
+        return [(rows[i][0], rows[j][0]) for i, j in spanning_links(sets, side if side.any() else None, percent, group)]
 
     key, rows = None, []
     for batch in batches:
@@ -190,9 +213,110 @@ def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 out += of(rows)
                 key, rows = (k0, k1, k2), []
             rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-    out = of(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        yield _pairs(out)
+    yield _pairs(of(rows))
+
+
+def _likely(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(node, low, n, registers, l_n, l_registers) to the (node, low) whose estimate may reach the threshold."""
+    for batch in batches:
+        node, low, n, regs, l_n, l_regs = batch.columns
+        keep = []
+        for k, (x, a, y, b) in enumerate(zip(n.to_pylist(), regs.to_pylist(), l_n.to_pylist(), l_regs.to_pylist())):
+            guess = estimates(np.frombuffer(a, np.uint16)[None], np.frombuffer(b, np.uint16), float(x))[0]
+            if guess >= least_estimate(np.int64(min(x, y)), percent):
+                keep.append(k)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([node.take(at), low.take(at)], ["node", "low"])
+
+
+def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(digest, shingles, l_digest, l_shingles) to links between digests."""
+    for batch in batches:
+        yield _pairs([(a, b) for a, x, b, y in zip(*(c.to_pylist() for c in batch.columns)) if a != b and linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
+
+
+def _similar_sizes(percent: int):
+    return 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
+
+
+def _star_links(sets: DataFrame, proposed: DataFrame, percent: int) -> DataFrame:
+    """Links among the proposed edges: registers rule most of the others out, full sets are sent for the rest only."""
+    light = sets.select("node", "n", "registers")
+    centre = light.toDF("low", "l_n", "l_registers")
+    pairs = proposed.join(light, "node").join(centre, "low").where(_similar_sizes(percent)).select("node", "low", "n", "registers", "l_n", "l_registers")
+    likely = written(pairs.mapInArrow(partial(_likely, percent=percent), "node long, low long"))
+    full = sets.select("node", "digest", "shingles")
+    both = likely.join(full, "node").join(full.toDF("low", "l_digest", "l_shingles"), "low").select("digest", "shingles", "l_digest", "l_shingles")
+    return both.mapInArrow(partial(_confirmed, percent=percent), "a binary, b binary")
+
+
+def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, label, shingles) with the shingles as numbers."""
+    for batch in batches:
+        lists = [np.frombuffer(s, np.int64) for s in batch.column(3).to_pylist()]
+        ends = np.cumsum([0, *map(len, lists)])
+        flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat).cast(pa.list_(pa.int64()))], ["node", "n", "label", "shingles"])
+
+
+def _refined(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, part`` for the sets that may have a link across labels, by the prefix filter; no such link is lost.
+
+    Shingles are put in one order for all sets: first those that one label only
+    has, then by rising number of sets. Of two linked sets of n and m shingles,
+    the first n - ceil(t n) + 1 of the one and the first m - ceil(t m) + 1 of the
+    other have one in common. Templates that many documents share stand last and
+    propose nothing.
+    """
+    rows = sets.select("node", "n", F.xxhash64("label").alias("label"), "shingles").mapInArrow(_hashes, "node long, n long, label long, shingles array<long>")
+    tokens = rows.select("node", "n", "label", F.explode("shingles").alias("s"))
+    spread = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    held = tokens.join(written(spread.select("s", "many")), "s").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("many", "s"))).alias("held"))
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("long")
+    take = (F.size("held") - least + 1).cast("int")  # the shingles of one label come first and use up the rest
+    first = held.where(take > 0).select("node", "label", F.explode(F.slice("held", F.lit(1), take)).alias("t")).select("node", "label", F.col("t.s").alias("s"))
+    first = written(first)
+    meet = first.groupBy("s").agg(F.min("node").alias("low"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("s", "low")
+    edges = first.join(written(meet), "s").where("node != low").select("node", "low").distinct()
+    return components(edges, "node", "low").select("node", F.col("component").alias("part"))
+
+
+def _wide_links(sets: DataFrame, proposed: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all that linked pairs of parts of any size connect.
+
+    Near copies link to the smallest node of a band and get its label; what is
+    left to compare are sets of different labels that the prefix filter lets
+    meet. These are dealt into blocks, large labels into blocks of their own,
+    and blocks are compared in pairs but for those of one label.
+    """
+    star = written(_star_links(sets, proposed, percent))
+    label = components(star, "a", "b").select(F.col("node").alias("l_digest"), F.col("component").alias("label"))
+    labelled = written(sets.join(label, F.col("digest") == F.col("l_digest"), "left").select("node", "n", "digest", "shingles", F.coalesce("label", "digest").alias("label")))
+    parts = written(_refined(labelled, percent))
+    rows = labelled.join(parts, "node")
+    sizes = written(rows.groupBy("part", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")))
+    need = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = sizes.select("part", "label", need.alias("blocks")).where("blocks > 1").select(F.col("part").alias("o_part"), F.col("label").alias("o_label"), "blocks")
+    own = written(own)
+    rest = sizes.join(own, (F.col("part") == F.col("o_part")) & (F.col("label") == F.col("o_label")), "left_anti")
+    pool = written(rest.groupBy("part").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).select(F.col("part").alias("p_part"), need.alias("pool")))
+    # a block is (number, label); in the pool the label is empty
+    none = F.lit(b"").cast("binary")
+    many = own.select(F.col("o_part").alias("part"), F.col("o_label").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    many = written(many.unionByName(pool.select(F.col("p_part").alias("part"), none.alias("of"), F.explode(F.sequence(F.lit(0), F.col("pool") - 1)).alias("k"))))
+    block = F.struct("of", "k")
+    one, other = many.select("part", block.alias("low")), many.select("part", block.alias("high"))
+    meet = one.join(other, "part").where((F.col("low") <= F.col("high")) & ((F.col("low.of") == none) | (F.col("low.of") != F.col("high.of"))))
+    sides = meet.select("part", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    at = F.pmod(F.xxhash64("digest"), F.coalesce("blocks", "pool")).cast("int")
+    rows = rows.join(own, (F.col("part") == F.col("o_part")) & (F.col("label") == F.col("o_label")), "left").join(pool, F.col("part") == F.col("p_part"), "left")
+    rows = rows.select("part", F.struct(F.when(F.col("blocks").isNull(), none).otherwise(F.col("label")).alias("of"), at.alias("k")).alias("block"), "digest", "label", "shingles")
+    dealt = rows.join(written(sides), ["part", "block"])
+    key = lambda c: F.concat_ws(":", F.hex(F.col(f"{c}.of")), F.col(f"{c}.k"))
+    dealt = dealt.select("part", key("low").alias("low"), key("high").alias("high"), key("block").alias("block"), "digest", "label", "shingles")
+    dealt = dealt.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
+    return star.unionByName(dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -207,21 +331,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     nodes = light.where("n_shingles > 0").groupBy("digest").agg(F.first("bands").alias("bands"))
     keys = written(nodes.select(node, F.explode("bands").alias("key")))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    proposed = keys.join(written(shared), "key").where("node != low").select("node", "low").distinct()
+    proposed = written(keys.join(written(shared), "key").where("node != low").select("node", "low").distinct())
     parts = components(proposed, "node", "low").withColumnRenamed("component", "part")
-    # a part has all candidates of its documents; large ones are dealt into blocks, and each pair of blocks is compared in one place
     members = light.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("text_key", "doc_id")).alias("first"), F.first("n_shingles").alias("n"))
     members = written(members.select("digest", "first.*", "n", node).join(parts, "node"))
     sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    members = members.join(written(sizes.select("part", blocks)), "part").select("part", "blocks", "digest", F.col("text_key").alias("m_key"), F.col("doc_id").alias("m_id"))
-    texts = rows.join(members, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("part", "blocks", "digest", "text")
-    sets = texts.mapInArrow(_sets, "part long, blocks int, digest binary, shingles binary")
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block")
-    dealt = sets.select("*", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "shingles")
-    dealt = dealt.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
-    links = dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
+    wide = written(sizes.where((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).select("part"))
+
+    def sets_of(how: str) -> DataFrame:
+        some = written(members.join(wide, "part", how).select("part", "node", "n", "digest", F.col("text_key").alias("m_key"), F.col("doc_id").alias("m_id")))
+        texts = Bitmap(some.select("m_key")).split(rows, F.col("text_key"), True).join(some, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
+        return texts.select("part", "node", "n", "digest", "text").mapInArrow(_sets, _SETS)
+
+    # a part of a bounded size is compared in one place
+    whole = sets_of("left_anti").select("part", F.lit("").alias("low"), F.lit("").alias("high"), F.lit("").alias("block"), "digest", F.col("digest").alias("label"), "shingles")
+    whole = whole.repartition("part").sortWithinPartitions("part")
+    links = whole.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
+    if wide.count():
+        sets = written(sets_of("left_semi"))
+        links = links.unionByName(_wide_links(sets, proposed.join(sets.select("node"), "node", "left_semi"), percent))
     found = components(links, "a", "b")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("component")
     return light.drop("bands").join(found, F.col("digest") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", component)
@@ -236,10 +364,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the document's own.
 
     Copies of a set are one node. Documents that share a band are proposed by an
-    edge to the band's smallest node, never pair by pair; within a part of that
-    graph, sets are compared block against block, and a pair is left out only
-    if links already connect it. So a large group of near copies costs few
-    comparisons, and no link between groups is lost.
+    edge to the band's smallest node, never pair by pair. A part of that graph of
+    up to BLOCK_SETS sets is compared in one place. In larger ones the proposed
+    edges are verified, first by registers, then by full sets; what they leave
+    apart goes through a prefix filter over full sets, and only what that lets
+    meet is compared, in blocks. A pair is left out only if links already connect
+    it, so a large group of near copies costs few comparisons, a large group of
+    texts from one template costs its shingles, and no link is lost.
 
     Null and empty texts have no shingles and are alone. Null ids are larger
     than any other: a group of null ids only has a null component. Repeated rows

@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from quillon.llm import graph, registry
 from quillon.llm import near_dedup as nd
-from quillon.llm import registry
 from quillon.llm.graph import components
 from tests_llm_brute import brute_near as brute
 
@@ -64,7 +64,11 @@ def test_estimates():
         assert abs(np.mean(got) - t) < 0.02
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [200_000, 60])
+def test_components(spark, monkeypatch, most):
+    """In one task, and in rounds between tasks with hot nodes."""
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
+    monkeypatch.setattr(graph, "HOT_EDGES", 5)
     rnd = random.Random(5)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(300)] + [(1000 + k, 1001 + k) for k in range(90)] + [(5, 5)]
     parent = {}
