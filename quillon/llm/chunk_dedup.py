@@ -13,10 +13,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillon.llm.common import written
-from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, runs, together, unmask
+from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, unmask
 
 #: A cut where the hash has so many leading zero bits: every 32 bytes on average, but no chunk under LEAST bytes (a document's last excepted) or over MOST.
 ZERO_BITS, LEAST, MOST = 5, 32, 256
@@ -82,13 +80,13 @@ class Chunks:
         self.begins = np.flatnonzero(new)
 
 
-def chunk_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct first halves of digests, and which of them several documents have."""
+def chunk_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct first halves of digests, which of them several documents have, and how often each occurs."""
     c = Chunks(pack)
     new = np.flatnonzero(np.append(True, c.key[1:] != c.key[:-1])) if len(c.key) else np.zeros(0, np.int64)
     if not len(new):
-        return c.key, np.zeros(0, bool)
-    return c.key[new], np.minimum.reduceat(c.ids, new) < np.maximum.reduceat(c.ids, new)
+        return c.key, np.zeros(0, bool), new
+    return c.key[new], np.minimum.reduceat(c.ids, new) < np.maximum.reduceat(c.ids, new), np.diff(np.append(new, len(c.key)))
 
 
 def entries(pack: Pack, ranges: int, found: list[dict]) -> tuple[Chunks, np.ndarray, np.ndarray]:
@@ -104,27 +102,24 @@ def entries(pack: Pack, ranges: int, found: list[dict]) -> tuple[Chunks, np.ndar
     return c, again, rows
 
 
-def _lowest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per key range and pack: the smallest id that has a chunk, where an id of the pack is larger."""
-    for part, group in runs(batches):
-        pieces = [np.frombuffer(r, _ENTRY) for _, r in group]
-        rows = np.concatenate(pieces)
-        order = np.lexsort((rows["rest"], rows["key"]))
-        k, s = rows["key"][order], rows["rest"][order]
-        begins = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-        low = np.empty(len(rows), np.int64)
-        low[order] = np.repeat(np.minimum.reduceat(rows["low"][order], begins), np.diff(np.append(begins, len(order))))
-        out, at = [], 0
-        for (pack, _), piece in zip(group, pieces):
-            mine = low[at : at + len(piece)]
-            at += len(piece)
-            hit = np.flatnonzero(mine < piece["high"])
-            if len(hit):
-                got = np.empty(len(hit), _FOUND)
-                got["entry"], got["low"] = hit, mine[hit]
-                out.append((pack, part, got.tobytes()))
-        kinds = pa.int64(), pa.int64(), pa.binary()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["pack", "part", "lows"])
+def _lowest(pieces: list[tuple]) -> list[tuple | None]:
+    """For each (pack, entries) of a key range: the smallest id that has a chunk, where an id of the pack is larger."""
+    split = [np.frombuffer(r, _ENTRY) for _, r in pieces]
+    rows = np.concatenate(split)
+    order = np.lexsort((rows["rest"], rows["key"]))
+    k, s = rows["key"][order], rows["rest"][order]
+    begins = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+    low = np.empty(len(rows), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(rows["low"][order], begins), np.diff(np.append(begins, len(order))))
+    out, at = [], 0
+    for piece in split:
+        mine = low[at : at + len(piece)]
+        at += len(piece)
+        hit = np.flatnonzero(mine < piece["high"])
+        got = np.empty(len(hit), _FOUND)
+        got["entry"], got["low"] = hit, mine[hit]
+        out.append((got.tobytes(),) if len(hit) else None)
+    return out
 
 
 def _without(pack: Pack, ranges: int, masks: list[dict] | None, results: list[dict] | None) -> pa.RecordBatch:
@@ -137,7 +132,7 @@ def _without(pack: Pack, ranges: int, masks: list[dict] | None, results: list[di
         edges = np.append(c.begins, len(c.order))
         low = np.full(len(c.order), np.iinfo(np.int64).max)  # of each chunk, in the order of the text
         for r in results:
-            got = np.frombuffer(r["lows"], _FOUND)
+            got = np.frombuffer(r["a0"], _FOUND)
             for e, v in zip(again[got["entry"].astype(np.int64) + offset[r["part"]]].tolist(), got["low"].tolist()):
                 low[c.order[edges[e] : edges[e + 1]]] = v
         doc = pack.doc_at(c.cuts[:-1])
@@ -183,19 +178,14 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = repeated_keys(packs, ranges, chunk_keys)
     release(spark)
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, ids, sizes, body, masks in rows_of(batches):
-            _, _, rows = entries(Pack(ids, sizes, body), ranges, masks)
-            if not len(rows):
-                continue
-            parts, ends = range_bounds(rows["key"], ranges)
-            blobs = [rows[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "entries"])
+    def pieces_of(pack: int, ids: list, sizes: list, body: bytes, masks: list[dict]) -> Iterator[tuple]:
+        _, _, rows = entries(Pack(ids, sizes, body), ranges, masks)
+        parts, ends = range_bounds(rows["key"], ranges)
+        for part, a, b in zip(parts.tolist(), ends, ends[1:]):
+            yield part, pack, rows[a:b].tobytes()
 
     masked = packs.join(found, "pack").select("pack", "ids", "sizes", "body", "found")
-    rows = masked.mapInArrow(emit, "part long, pack long, entries binary")
-    results = together(rows, "part").mapInArrow(_lowest, "pack long, part long, lows binary")
-    results = written(results.groupBy("pack").agg(F.collect_list(F.struct("part", "lows")).alias("results")))
+    results = asked(masked, pieces_of, 1, _lowest, 1).withColumnRenamed("found", "results")
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,19 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*)?", conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _temporary_folder()
-    return f"{root.rstrip('/')}/quillon/{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/quillon/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Folders that this process has made.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that the operators have written for this process; for the end of a job, as results that are still to be read may need it."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.cache

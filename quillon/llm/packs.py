@@ -1,14 +1,15 @@
-"""Documents packed by megabytes, and keys that more than one pack or document has.
+"""Documents packed by megabytes, and questions about keys that many packs share.
 
 Byte-level operators handle millions of small keys per task. They pack
-documents into rows of some megabytes, ship sorted arrays of keys by hash
-range, and get bit masks back, so that Spark moves few, large rows.
+documents into rows of some megabytes, send sorted arrays by key range, and get
+answers back, so that Spark moves few, large rows: what a task has for a range
+goes as one row, however many packs it comes from, and so do the answers.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from quillon.llm.common import named, written
 
 #: A pack is closed when it has so many bytes or documents; one longer document is a pack of its own.
 PACK_BYTES, PACK_DOCS = 4 << 20, 20_000
-#: A key range is compared in one go; there is one for so many bytes of text.
-RANGE_BYTES = 4 << 20
+#: A key range is settled in one task; there is one for so many bytes of text, and at least LEAST_RANGES.
+RANGE_BYTES, LEAST_RANGES = 32 << 20, 256
+#: A task gathers so many bytes of its packs' pieces before it sends a row to each range.
+UNIT_BYTES = 48 << 20
 #: Packs are written once and shuffled twice, so a better level than the fastest pays: 0.36 of the text's size where that has 0.45.
 PACK_LEVEL = 5
 #: Null ids stand after all others.
@@ -73,7 +76,7 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def range_count(packs: DataFrame) -> int:
-    return max(1, (packs.agg(F.sum("raw")).first()[0] or 0) // RANGE_BYTES)
+    return max(LEAST_RANGES, (packs.agg(F.sum("raw")).first()[0] or 0) // RANGE_BYTES)
 
 
 def range_bounds(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,50 +126,114 @@ def _long(short: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def repeated_keys(packs: DataFrame, ranges: int, keys_of: Callable[[Pack], tuple[np.ndarray, np.ndarray]], hot_packs: int = 1 << 30) -> DataFrame:
-    """``pack, found``: bit masks over the pack's sorted distinct keys, by key range.
+Piece = tuple  # (pack, bytes, ...)
+
+
+def _piece_rows(rows: Iterable[tuple[tuple, list[Piece]]], heads: Sequence[str], blobs: int) -> Iterator[pa.RecordBatch]:
+    """Rows of two numbers and pieces: the numbers, the pieces' packs, and for each blob the sizes of its pieces and all of them in a row."""
+    names = [*heads, "packs", *(x for k in range(blobs) for x in (f"sizes{k}", f"blob{k}"))]
+    kinds = [pa.int64()] * len(heads) + [pa.list_(pa.int64())] + [pa.list_(pa.int64()), pa.binary()] * blobs
+    for head, pieces in rows:
+        row = [*head, [p[0] for p in pieces]]
+        for k in range(1, blobs + 1):
+            row += [[len(p[k]) for p in pieces], b"".join(p[k] for p in pieces)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+
+def _piece_schema(heads: Sequence[str], blobs: int) -> str:
+    return ", ".join([*(f"{h} long" for h in heads), "packs array<long>", *(f"sizes{k} array<long>, blob{k} binary" for k in range(blobs))])
+
+
+def _pieces(packs: list[int], *blobs: list | bytes) -> list[Piece]:
+    out: list[list] = [[p] for p in packs]
+    for sizes, body in zip(blobs[::2], blobs[1::2]):
+        at = 0
+        for piece, n in zip(out, sizes):
+            piece.append(body[at : at + n])
+            at += n
+    return [tuple(p) for p in out]
 
-    ``again`` marks keys that two packs have, or one pack in two documents;
-    ``hot`` those that more than ``hot_packs`` packs have. ``keys_of`` gives the
-    keys, and which of them several documents of the pack have; it must give the
-    same whenever it is asked.
+
+def asked(rows: DataFrame, pieces_of: Callable[..., Iterable[tuple]], blobs: int, answer: Callable[[list[Piece]], list[tuple | None]], answers: int) -> DataFrame:
+    """``pack, found``: for each pack the answers that its pieces got, by key range.
+
+    ``pieces_of`` makes (range, pack, bytes, ...) of a row; ``answer`` gets all
+    pieces of a range and gives bytes for each, or None. A task sends one row to
+    a range for all its packs, up to UNIT_BYTES, and gets one back from it; so
+    rows are as many as units times ranges, of kilobytes each up to terabytes of
+    text. ``pieces_of`` must give the same whenever it is asked.
     """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, ids, sizes, body in rows_of(batches):
-            keys, several = keys_of(Pack(ids, sizes, body))
-            if not len(keys):
-                continue
-            parts, ends = range_bounds(keys, ranges)
-            cut = list(zip(ends, ends[1:]))
-            columns = [
-                pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()),
-                pa.array([_short(keys[a:b]) for a, b in cut], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cut], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "keys", "several"])
-
-    def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in runs(batches):
-            keys = np.concatenate([_long(k) for _, k, _ in rows])
-            several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // SHORT) for _, k, m in rows]).astype(bool)
-            order = np.argsort(keys, kind="stable")
-            begins = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-            count = np.empty(len(keys), np.int64)
-            size = np.diff(np.append(begins, len(keys)))
-            count[order] = np.repeat(size, size)
-            ends = np.cumsum([len(k) // SHORT for _, k, _ in rows])
-            masks = [[np.packbits(x[e - len(k) // SHORT : e]).tobytes() for e, (_, k, _) in zip(ends, rows)] for x in ((count > 1) | several, count > hot_packs)]
-            columns = [pa.array([p for p, *_ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array(m, pa.binary()) for m in masks)]
-            yield pa.RecordBatch.from_arrays(columns, ["pack", "part", "again", "hot"])
-
-    rows = packs.select("pack", "ids", "sizes", "body").mapInArrow(emit, "part long, pack long, keys binary, several binary")
-    masks = together(rows, "part").mapInArrow(present, "pack long, part long, again binary, hot binary")
-    return written(masks.groupBy("pack").agg(F.collect_list(F.struct("part", "again", "hot")).alias("found")))
-
-
-def unmask(keys: np.ndarray, ranges: int, found: list[dict], which: str = "again") -> np.ndarray:
+        task, n, held = TaskContext.get().partitionId(), 0, 0
+        box: dict[int, list[Piece]] = {}
+        for row in rows_of(batches):
+            for part, *piece in pieces_of(*row):
+                box.setdefault(part, []).append(tuple(piece))
+                held += sum(map(len, piece[1:]))
+            if held >= UNIT_BYTES:
+                yield from _piece_rows((((part, (task << 33) + n), box.pop(part)) for part in list(box)), ("part", "unit"), blobs)
+                n, held = n + 1, 0
+        yield from _piece_rows((((part, (task << 33) + n), box.pop(part)) for part in list(box)), ("part", "unit"), blobs)
+
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows_ in runs(batches):
+            units = [(unit, _pieces(*columns)) for unit, *columns in rows_]
+            got = iter(answer([p for _, pieces in units for p in pieces]))
+            back = [(unit, [(p[0], *a) for p in pieces if (a := next(got)) is not None]) for unit, pieces in units]
+            yield from _piece_rows((((unit, part), pieces) for unit, pieces in back if pieces), ("unit", "part"), answers)
+
+    def give(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [("part", pa.int64()), *((f"a{k}", pa.binary()) for k in range(answers))]
+        for _, rows_ in runs(batches):
+            by_pack: dict[int, list[dict]] = {}
+            for part, *columns in rows_:
+                for pack, *data in _pieces(*columns):
+                    by_pack.setdefault(pack, []).append({"part": part} | {f"a{k}": d for k, d in enumerate(data)})
+            for pack in sorted(by_pack):
+                yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([by_pack.pop(pack)], pa.list_(pa.struct(fields)))], ["pack", "found"])
+
+    questions = rows.mapInArrow(emit, _piece_schema(("part", "unit"), blobs))
+    solved = together(questions, "part").mapInArrow(settle, _piece_schema(("unit", "part"), answers))
+    fields = ",".join(["part:long", *(f"a{k}:binary" for k in range(answers))])
+    return written(together(solved, "unit").mapInArrow(give, f"pack long, found array<struct<{fields}>>"))
+
+
+def repeated_keys(packs: DataFrame, ranges: int, keys_of: Callable[[Pack], tuple[np.ndarray, np.ndarray, np.ndarray]], hot_uses: int = 1 << 62) -> DataFrame:
+    """``pack, found``: bit masks over the pack's sorted distinct keys, by key range.
+
+    The first marks keys that two packs have, or one pack in two documents; the
+    second those with more than ``hot_uses`` uses. ``keys_of`` gives the keys,
+    which of them several documents of the pack have, and how often each is used.
+    """
+
+    def pieces_of(pack: int, ids: list, sizes: list, body: bytes) -> Iterator[tuple]:
+        keys, several, uses = keys_of(Pack(ids, sizes, body))
+        weight = np.ceil(np.log2(np.maximum(uses, 1))).astype(np.uint8)  # as a power of two, rounded up
+        parts, ends = range_bounds(keys, ranges)
+        for part, a, b in zip(parts.tolist(), ends, ends[1:]):
+            yield part, pack, _short(keys[a:b]), np.packbits(several[a:b]).tobytes(), weight[a:b].tobytes()
+
+    def present(pieces: list[Piece]) -> list[tuple]:
+        sizes = [len(w) for *_, w in pieces]
+        keys = np.concatenate([_long(k) for _, k, _, _ in pieces])
+        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for (_, _, m, _), n in zip(pieces, sizes)]).astype(bool)
+        uses = np.int64(1) << np.frombuffer(b"".join(w for *_, w in pieces), np.uint8).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        begins = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        size = np.diff(np.append(begins, len(keys)))
+        again, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        again[order] = np.repeat(size > 1, size)
+        hot[order] = np.repeat(np.add.reduceat(uses[order], begins) > hot_uses, size)
+        ends = np.cumsum(sizes).tolist()
+        return [tuple(np.packbits(x[e - n : e]).tobytes() for x in (again | several, hot)) for e, n in zip(ends, sizes)]
+
+    return asked(packs.select("pack", "ids", "sizes", "body"), pieces_of, 3, present, 2)
+
+
+def unmask(keys: np.ndarray, ranges: int, found: list[dict] | None, which: int = 0) -> np.ndarray:
     """A mask of :func:`repeated_keys` as one boolean for each key."""
     parts, ends = range_bounds(keys, ranges)
-    masks = {f["part"]: f[which] for f in found}
+    masks = {f["part"]: f[f"a{which}"] for f in found or ()}
     pieces = [np.unpackbits(np.frombuffer(masks[p], np.uint8), count=b - a) for p, a, b in zip(parts.tolist(), ends, ends[1:])]
     return np.concatenate(pieces).astype(bool) if pieces else np.zeros(0, bool)

@@ -2,8 +2,10 @@
 
 Suffixes are compared to WIDTH bytes. Anchors chosen by content (the smallest
 hash of a GRAM-byte string in each window) say which windows could recur at
-all; windows under anchors of more than one document are the suffixes that are
-sorted, deep-shallow, range by range of the anchors' hashes.
+all. The suffixes from anchors of more than one document, and the bytes before
+them backwards, are sorted deep-shallow, range by range of the anchors' hashes;
+what recurs stands side by side in that order, and common prefixes of neighbours
+say how far.
 """
 
 from __future__ import annotations
@@ -13,10 +15,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillon.llm.common import written
-from quillon.llm.packs import Pack, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, runs, together, unmask
+from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, unmask
 from quillon.llm.suffix_sort import deep_shallow
 
 #: Fixed by the contract.
@@ -25,10 +25,10 @@ GRAM = 20
 #: Windows start at most SPREAD - 1 bytes before their anchor, so a context has at most CONTEXT bytes: ten words of eight.
 SPREAD = WIDTH - GRAM + 1
 CONTEXT = WIDTH + SPREAD - 1
-#: Contexts of a key that more packs have are sent window by window, dealt by the windows' own hashes, so that no task gets them all.
-HOT_PACKS = 500
-#: About so many suffixes are sorted at once; a single key may have more.
-SORT_WINDOWS = 20_000
+#: Contexts of a key with more uses are sent window by window, dealt by the windows' own hashes, so that no task gets them all.
+HOT_USES = 20_000
+#: About so many contexts are sorted at once; a single key has HOT_USES at most.
+SORT_CONTEXTS = 100_000
 #: Bytes hashed at once, for the sake of the processor's cache.
 SLICE = 1 << 17
 
@@ -85,8 +85,8 @@ def anchors(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return keys[new], at[new], first[new], last[np.append(new[1:], len(at)) - 1] if len(at) else last
 
 
-def anchor_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and which of them several documents have."""
+def anchor_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, which of them several documents have, and how often each occurs."""
     keys, _, first, _ = anchors(pack)
     doc = pack.doc_at(first)
     order = np.lexsort((doc, keys))
@@ -94,7 +94,7 @@ def anchor_keys(pack: Pack) -> tuple[np.ndarray, np.ndarray]:
     new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
     other = np.append(False, (doc[1:] != doc[:-1])) & ~new
     begins = np.flatnonzero(new)
-    return keys[begins], np.logical_or.reduceat(other, begins) if len(begins) else other
+    return keys[begins], np.logical_or.reduceat(other, begins) if len(begins) else other, np.diff(np.append(begins, len(keys)))
 
 
 def _contexts(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ class Entries:
         where = np.searchsorted(distinct, keys)
         none = np.zeros(0, bool)
         again = unmask(distinct, ranges, found)[where] if len(keys) else none
-        hot = unmask(distinct, ranges, found, "hot")[where][again] if len(keys) else none
+        hot = unmask(distinct, ranges, found, 1)[where][again] if len(keys) else none
         keys, at, first, last = keys[again], at[again], first[again], last[again]
         flat = np.append(pack.bytes, np.zeros(CONTEXT, np.uint8))
         sizes = (last - first + WIDTH).astype(np.uint8)
@@ -168,33 +168,60 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
-def _smallest(rows: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """For entries of one key range: runs of windows, each with the smallest id that has them, where an id of the entry is larger."""
-    sizes = rows["size"].astype(np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    order, begins = _equal_runs(rows["key"], sizes, rows["lead"], _contexts(flat, offsets, sizes))
-    one = order[begins]  # an entry for each distinct context
+class Side:
+    """One side of the anchors, as strings of the key and ``width`` bytes away from it, sorted; neighbours share so many bytes."""
+
+    def __init__(self, keys: np.ndarray, flat: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int):
+        record = np.zeros((len(keys), 8 + width), np.uint8)
+        record[:, :8] = keys.astype(">u8")[:, None].view(np.uint8)
+        for k in range(width):  # zero beyond the size
+            on = size > k
+            record[on, 8 + k] = flat[at[on] + step * k]
+        self._order, _ = deep_shallow(record.ravel(), np.arange(len(keys)) * (8 + width), 8 + width)
+        record = record[self._order]
+        differ = record[1:] != record[:-1]
+        self._shared = np.where(differ.any(axis=1), differ.argmax(axis=1), 8 + width) - 8
+
+    def classes(self, depth: int) -> np.ndarray:
+        """Equal numbers for strings that share ``depth`` bytes, which stand side by side; they rise in the order of the strings."""
+        out = np.empty(len(self._order), np.int64)
+        out[self._order] = np.append(0, np.cumsum(self._shared < depth))
+        return out
+
+
+def _smallest(rows: np.ndarray, body: bytes) -> np.ndarray:
+    """For entries of one key range: runs of windows, each with the smallest id that has them, where an id of the entry is larger.
+
+    Equal windows have one key and lie equally around its anchor. So suffixes
+    are sorted from the anchor on, and what stands before it backwards; a window
+    of so many bytes on either side is known by what its strings share there.
+    """
+    flat = np.frombuffer(body, np.uint8)
+    sizes, leads = rows["size"].astype(np.int64), rows["lead"].astype(np.int64)
+    anchor = np.cumsum(sizes) - sizes + leads
+    ahead = Side(rows["key"], flat, anchor, sizes - leads, WIDTH, 1)
+    behind = Side(rows["key"], flat, anchor - 1, leads, SPREAD - 1, -1)
+    # an entry for each distinct context, in the order of their keys
+    whole, shape = ahead.classes(WIDTH) * len(rows) + behind.classes(SPREAD - 1), leads * 256 + sizes
+    order = np.lexsort((shape, whole))
+    begins = np.flatnonzero(np.append(True, (whole[order][1:] != whole[order][:-1]) | (shape[order][1:] != shape[order][:-1])))
+    one = order[begins]
     low = np.minimum.reduceat(rows["low"][order], begins)
-    windows, lead = sizes[one] - WIDTH + 1, rows["lead"][one].astype(np.int64)
+    windows, lead = sizes[one] - WIDTH + 1, leads[one]
     key = rows["key"][one]
     alone = np.append(True, key[1:] != key[:-1]) & np.append(key[1:] != key[:-1], True)
-    # contexts of keys that have several: their windows are the suffixes to sort. Equal windows have one key and lie equally
-    # around it, so some keys at a time are sorted, and of those the windows in one place around the key
-    several = np.flatnonzero(~alone)
+    several = np.flatnonzero(~alone)  # contexts of keys that have several may share some windows only
     value = np.repeat(low[several][:, None], SPREAD, axis=1)  # the smallest id of each window
-    new_key = np.flatnonzero(np.append(True, key[several][1:] != key[several][:-1])) if len(several) else several
-    steps = new_key[np.flatnonzero(np.diff(new_key // SORT_WINDOWS, prepend=-1))]
-    for chunk in np.split(np.arange(len(several)), steps[1:]) if len(several) else []:
-        for around in range(SPREAD):
-            at = lead[several[chunk]] - around
-            ok = (at >= 0) & (at < windows[several[chunk]])
-            row, at = chunk[ok], at[ok]
-            if len(row) < 2:
-                continue
-            by, same = deep_shallow(flat, offsets[one][several[row]] + at, WIDTH)
-            heads = np.flatnonzero(~same)
-            least = np.minimum.reduceat(low[several[row]][by], heads)
-            value[row[by], at[by]] = np.repeat(least, np.diff(np.append(heads, len(by))))
+    for around in range(SPREAD):
+        at = lead[several] - around
+        row = np.flatnonzero((at >= 0) & (at < windows[several]))
+        if len(row) < 2:
+            continue
+        same = (ahead.classes(WIDTH - around) * len(rows) + behind.classes(around))[one[several[row]]]
+        by = np.argsort(same, kind="stable")
+        heads = np.flatnonzero(np.append(True, same[by][1:] != same[by][:-1]))
+        least = np.minimum.reduceat(low[several[row]][by], heads)
+        value[row[by], at[row[by]]] = np.repeat(least, np.diff(np.append(heads, len(by))))
     begins_run = np.arange(SPREAD) < windows[several][:, None]
     begins_run[:, 1:] &= value[:, 1:] != value[:, :-1]
     row, first = np.nonzero(begins_run)
@@ -217,21 +244,30 @@ def _smallest(rows: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, group in runs(batches):
-        pieces = [np.frombuffer(r, _ENTRY) for _, r, _, _ in group]
-        flat = b"".join(pa.decompress(t, n, codec="zstd", asbytes=True) for _, _, t, n in group) + bytes(CONTEXT)
-        found = _smallest(np.concatenate(pieces), np.frombuffer(flat, np.uint8))
-        ends = np.cumsum([len(p) for p in pieces])
-        cut = np.searchsorted(found["entry"], np.append(0, ends))
-        out = []
-        for k, (pack, *_) in enumerate(group):
-            mine = found[cut[k] : cut[k + 1]].copy()
-            mine["entry"] -= np.uint32(ends[k] - len(pieces[k]))
-            if len(mine):
-                out.append((pack, part, mine.tobytes()))
-        kinds = pa.int64(), pa.int64(), pa.binary()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["pack", "part", "runs"])
+def _sorted(pieces: list[tuple]) -> list[tuple | None]:
+    """For each (pack, entries, texts) of a key range its runs, or None; the range is sorted in parts of a bounded number of contexts."""
+    rows = [np.frombuffer(r, _ENTRY) for _, r, _ in pieces]
+    texts = [pa.decompress(t, int(r["size"].sum()), codec="zstd", asbytes=True) for r, (*_, t) in zip(rows, pieces)]
+    places = [np.append(0, np.cumsum(r["size"], dtype=np.int64)) for r in rows]
+    low, high = min(int(r["key"][0]) for r in rows), max(int(r["key"][-1]) for r in rows)
+    steps = 1 + sum(map(len, rows)) // SORT_CONTEXTS
+    cuts = [np.uint64(low + (high - low) * k // steps) for k in range(1, steps)]
+    ends = [[0, *np.searchsorted(r["key"], cuts).tolist(), len(r)] for r in rows]
+    out: list[list[bytes]] = [[] for _ in rows]
+    for k in range(steps):
+        spans = [(e[k], e[k + 1]) for e in ends]
+        some = np.concatenate([r[a:b] for r, (a, b) in zip(rows, spans)])
+        if not len(some):
+            continue
+        body = b"".join([*(t[at[a] : at[b]] for t, at, (a, b) in zip(texts, places, spans)), bytes(CONTEXT)])
+        found = _smallest(some, body)
+        begin = np.cumsum([0, *(b - a for a, b in spans)])
+        cut = np.searchsorted(found["entry"], begin)
+        for j, (a, _) in enumerate(spans):
+            mine = found[cut[j] : cut[j + 1]].copy()
+            mine["entry"] = mine["entry"].astype(np.int64) + (a - begin[j])
+            out[j].append(mine.tobytes())
+    return [(b"".join(o),) if any(o) else None for o in out]
 
 
 def covered(pack: Pack, entries: Entries, ranges: int, results: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +277,7 @@ def covered(pack: Pack, entries: Entries, ranges: int, results: list[dict]) -> t
     edges = np.append(entries.begins, len(entries.starts))
     begin, end = [], []
     for r in results:
-        found = np.frombuffer(r["runs"], _RUN)
+        found = np.frombuffer(r["a0"], _RUN)
         entry = found["entry"].astype(np.int64) + offset[r["part"]]
         row, place = spread(edges[entry], edges[entry + 1] - edges[entry])
         later = entries.ids[place] > found["low"][row]
@@ -295,27 +331,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     packs = pack_documents(docs, id_col, text_col)
     ranges = range_count(packs)
-    found = repeated_keys(packs, ranges, anchor_keys, HOT_PACKS)
+    found = repeated_keys(packs, ranges, anchor_keys, HOT_USES)
     release(spark)
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, ids, sizes, body, masks in rows_of(batches):
-            e = Entries(Pack(ids, sizes, body), ranges, masks)
-            if not len(e.keys):
-                continue
-            parts, ends = range_bounds(e.keys, ranges)
-            cut = list(zip(ends, ends[1:]))
-            texts = [e.texts(a, b) for a, b in cut]
-            columns = [
-                pa.array(parts, pa.int64()), pa.array([pack] * len(parts), pa.int64()), pa.array([e.rows[a:b].tobytes() for a, b in cut], pa.binary()),
-                pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "pack", "entries", "texts", "size"])
+    def pieces_of(pack: int, ids: list, sizes: list, body: bytes, masks: list[dict]) -> Iterator[tuple]:
+        e = Entries(Pack(ids, sizes, body), ranges, masks)
+        parts, ends = range_bounds(e.keys, ranges)
+        for part, a, b in zip(parts.tolist(), ends, ends[1:]):
+            yield part, pack, e.rows[a:b].tobytes(), pa.compress(e.texts(a, b), codec="zstd", asbytes=True)
 
     masked = packs.select("pack", "ids", "sizes", "body").join(found, "pack").select("pack", "ids", "sizes", "body", "found")
-    rows = masked.mapInArrow(emit, "part long, pack long, entries binary, texts binary, size long")
-    results = together(rows, "part").mapInArrow(_sorted, "pack long, part long, runs binary")
-    results = written(results.groupBy("pack").agg(F.collect_list(F.struct("part", "runs")).alias("results")))
+    results = asked(masked, pieces_of, 2, _sorted, 1).withColumnRenamed("found", "results")
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

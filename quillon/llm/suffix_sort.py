@@ -18,98 +18,114 @@ def words_at(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 class BlindTrie:
     """Strings of one width by the bytes at which they branch; the bytes between are compared only once a place is known."""
 
-    def __init__(self, strings: list[bytes], depth: int):
-        self.strings, self.root = strings, 0  # a leaf is its string's number, an inner node [depth, {byte: node}]
+    def __init__(self, strings: list[bytes]):
+        self.strings, self.root = strings, [0]  # a leaf lists the numbers of equal strings, an inner node is (depth, {byte: node})
         for k in range(1, len(strings)):
-            self._insert(k, depth)
+            self._insert(k)
 
-    def _insert(self, k: int, known: int) -> None:
+    def _insert(self, k: int) -> None:
         s = self.strings[k]
         node = self.root
-        while isinstance(node, list):  # blindly: any branch will do where none fits
-            node = node[1].get(s[node[0]]) if s[node[0]] in node[1] else next(iter(node[1].values()))
-        t = self.strings[node]
-        split = known
-        while s[split] == t[split]:  # strings are distinct
-            split += 1
+        while isinstance(node, tuple):  # blindly: any branch will do where none fits
+            at, edges = node
+            node = edges[s[at]] if s[at] in edges else next(iter(edges.values()))
+        t = self.strings[node[0]]
+        if s == t:
+            node.append(k)
+            return
+        differ = int.from_bytes(s) ^ int.from_bytes(t)
+        split = len(s) - (differ.bit_length() + 7) // 8  # the first byte that differs
         above, edge, node = None, None, self.root
-        while isinstance(node, list) and node[0] < split:
+        while isinstance(node, tuple) and node[0] < split:
             above, edge, node = node, s[node[0]], node[1][s[node[0]]]
-        if isinstance(node, list) and node[0] == split:
-            node[1][s[split]] = k
+        if isinstance(node, tuple) and node[0] == split:
+            node[1][s[split]] = [k]
             return
-        fork = [split, {t[split]: node, s[split]: k}]
+        fork = (split, {t[split]: node, s[split]: [k]})
         if above is None:
             self.root = fork
         else:
             above[1][edge] = fork
 
-    def order(self) -> list[int]:
+    def order(self) -> list[list[int]]:
+        """The strings in order, equal ones in one list."""
         out, todo = [], [self.root]
         while todo:
             node = todo.pop()
-            if isinstance(node, list):
+            if isinstance(node, tuple):
                 todo += [node[1][b] for b in sorted(node[1], reverse=True)]
             else:
                 out.append(node)
         return out
 
 
-def deep_shallow(flat: np.ndarray, starts: np.ndarray, width: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the ``width``-byte strings at ``starts``, and for each place in it whether the string equals the one before.
+def multikey_quicksort(flat: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the ``width``-byte strings at ``starts``, and for each place in it the place where its tie begins.
 
-    Multikey quicksort parts the strings, eight bytes as one character, down to
-    ``shallow`` bytes, at each depth within the groups that still tie. In groups
-    that agree so far, equal strings are drawn together and a blind trie orders
-    the distinct ones.
+    Ternary: a group of strings that agree so far is parted into those whose
+    next character is under, at and over a pivot, the median of three; those at
+    it go on to the next character. Eight bytes are one character. All groups
+    are parted at the same time, one step per round.
     """
     n = len(starts)
-    order, group = np.arange(n), np.zeros(n, np.int64)  # group: number of the place where the tie begins
-    for depth in range(0, min(shallow, width), 8):
-        size = np.bincount(group, minlength=n)[group] if n else group
-        tied = np.flatnonzero(size > 1)
-        if not len(tied):
-            break
-        word = words_at(flat, starts[order[tied]] + depth, min(8, width - depth))
-        by = np.lexsort((word, group[tied]))
-        order[tied] = order[tied][by]
-        word, g = word[by], group[tied]
-        new = np.append(True, (word[1:] != word[:-1]) | (g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    same = np.append(False, group[1:] == group[:-1]) if n else np.zeros(0, bool)
-    if width > shallow and same.any():
-        _deep(flat, starts, width, shallow, order, group, same)
-    return order, same
+    order, head = np.arange(n), np.zeros(n, np.int64)
+    place = np.arange(n) if n > 1 and width else np.zeros(0, np.int64)  # places in groups that are not done
+    depth = np.zeros(len(place), np.int64)
+    word = words_at(flat, starts, min(8, width)) if len(place) else np.zeros(0, np.uint64)
+    while len(place):
+        at = head[place]
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        size = np.diff(np.append(begin, len(place)))
+        a, b, c = word[begin], word[begin + size // 2], word[begin + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        under, level = word < pivot, word == pivot
+        n_under, n_level = np.add.reduceat(under, begin, dtype=np.int64), np.add.reduceat(level, begin, dtype=np.int64)
+        within = np.arange(len(place)) - np.repeat(begin, size)
+        nth_under = np.cumsum(under) - np.repeat(np.cumsum(n_under) - n_under, size)
+        nth_level = np.cumsum(level) - np.repeat(np.cumsum(n_level) - n_level, size)
+        n_under, n_level = np.repeat(n_under, size), np.repeat(n_level, size)
+        to = np.where(under, nth_under - 1, np.where(level, n_under + nth_level - 1, n_under + n_level + within - nth_under - nth_level))
+        to += np.repeat(begin, size)
+        order[place[to]] = order[place]
+        head[place[to]] = at + np.where(under, 0, np.where(level, n_under, n_under + n_level))
+        moved = np.empty_like(to)
+        moved[to] = np.arange(len(to))
+        word, depth, level = word[moved], depth[moved] + 8 * level[moved], level[moved]
+        at = head[place]
+        new = np.append(True, at[1:] != at[:-1])
+        single = new & np.append(new[1:], True)
+        on = ~single & (depth < width)
+        place, depth, word, level = place[on], depth[on], word[on], level[on]
+        for d in range(8, width, 8):
+            mine = np.flatnonzero(level & (depth == d))
+            if len(mine):
+                word[mine] = words_at(flat, starts[order[place[mine]]] + d, min(8, width - d))
+    return order, head
+
 
+def deep_shallow(flat: np.ndarray, starts: np.ndarray, width: int, shallow: int = SHALLOW, body: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the ``width``-byte strings at ``starts``, and for each place in it whether the string equals the one before.
 
-def _deep(flat: np.ndarray, starts: np.ndarray, width: int, shallow: int, order: np.ndarray, group: np.ndarray, same: np.ndarray) -> None:
-    """Orders, in place, the groups that tie to ``shallow`` bytes; ``same`` then says which strings are equal."""
-    tied = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1)
-    rest = [words_at(flat, starts[order[tied]] + d, min(8, width - d)) for d in range(shallow, width, 8)]
-    mark = np.zeros(len(tied), np.uint64)
-    for w in rest:
-        mark = (mark ^ w) * np.uint64(0x9E3779B97F4A7C15)
-        mark ^= mark >> np.uint64(29)
-    by = np.lexsort((mark, group[tied]))
-    order[tied], rest = order[tied][by], [w[by] for w in rest]
-    g, mark = group[tied], mark[by]
-    equal = np.append(False, np.logical_and.reduce([w[1:] == w[:-1] for w in rest]) & (g[1:] == g[:-1]))
-    first = np.flatnonzero(~equal)  # where runs of equal strings begin
-    same[tied] = equal
-    ends = np.append(first[1:], len(tied))
-    edges = np.flatnonzero(np.append(True, g[first][1:] != g[first][:-1]))
-    for a, b in zip(edges, np.append(edges[1:], len(first))):
-        if b - a < 2:
+    Multikey quicksort to ``shallow`` bytes; blind tries order what ties there.
+    Whether neighbours are equal is read off that order alone. ``body`` is
+    ``flat`` as bytes, where the caller has it.
+    """
+    n = len(starts)
+    order, head = multikey_quicksort(flat, starts, min(shallow, width))
+    same = np.append(False, head[1:] == head[:-1]) if n else np.zeros(0, bool)
+    if width <= shallow or not same.any():
+        return order, same
+    body = flat.tobytes() if body is None else body
+    begin = np.flatnonzero(~same)
+    end = np.append(begin[1:], n)
+    tied = end - begin > 1
+    for a, b in zip(begin[tied].tolist(), end[tied].tolist()):
+        mine = order[a:b]
+        groups = BlindTrie([body[s + shallow : s + width] for s in starts[mine].tolist()]).order()
+        same[a:b] = True
+        if len(groups) == 1:
+            same[a] = False
             continue
-        strings = [flat[s : s + width].tobytes() for s in starts[order[tied[first[a:b]]]]]
-        places = tied[first[a] : ends[b - 1]]
-        if len(set(strings)) == b - a:
-            runs = [range(first[a + k], ends[a + k]) for k in BlindTrie(strings, shallow).order()]
-        else:  # a string may have several runs if marks collide
-            of: dict[bytes, list[int]] = {}
-            for k, s in enumerate(strings):
-                of.setdefault(s, []).extend(range(first[a + k], ends[a + k]))
-            distinct = list(of)
-            runs = [of[distinct[k]] for k in BlindTrie(distinct, shallow).order()]
-        order[places] = order[tied[[p for r in runs for p in r]]]
-        same[places] = [k > 0 for r in runs for k in range(len(r))]
+        order[a:b] = mine[[k for g in groups for k in g]]
+        same[a + np.cumsum([0, *map(len, groups[:-1])])] = False
+    return order, same

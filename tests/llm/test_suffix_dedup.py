@@ -5,10 +5,10 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from quillon.llm import packs, registry
+from quillon.llm import packs, registry, suffix_sort
 from quillon.llm import suffix_dedup as suffix
 from quillon.llm.suffix_dedup import WIDTH, suffix_dedup
-from quillon.llm.suffix_sort import BlindTrie, deep_shallow
+from quillon.llm.suffix_sort import BlindTrie, deep_shallow, multikey_quicksort
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -28,9 +28,36 @@ def test_deep_shallow(seed):
 
 def test_blind_trie():
     rnd = random.Random(2)
-    strings = list({bytes(rnd.choice(b"ab\0") for _ in range(9)) for _ in range(300)})
-    assert [strings[k] for k in BlindTrie(strings, 0).order()] == sorted(strings)
-    assert BlindTrie([b"x"], 0).order() == [0]
+    strings = [bytes(rnd.choice(b"ab\0") for _ in range(9)) for _ in range(300)]
+    got = BlindTrie(strings).order()
+    assert [strings[g[0]] for g in got] == sorted(set(strings))
+    assert sorted(k for g in got for k in g) == list(range(300)) and all(len({strings[k] for k in g}) == 1 for g in got)
+    assert BlindTrie([b"x"]).order() == [[0]]
+
+
+def test_multikey_quicksort_ties_are_the_shared_prefixes():
+    rnd = random.Random(4)
+    flat = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(3000)), np.uint8)
+    starts = np.array([rnd.randrange(2900) for _ in range(2000)])
+    for width in (0, 3, 8, 12, 24):
+        order, head = multikey_quicksort(flat, starts, width)
+        got = [flat[s : s + width].tobytes() for s in starts[order]]
+        assert got == sorted(got) and [got.index(x) for x in got] == head.tolist()
+
+
+@pytest.mark.parametrize("part", ["trie", "quicksort"])
+def test_the_sort_decides(spark, monkeypatch, part):
+    """Without the order that either half of the sort makes, copies are no neighbours and stay."""
+    # of one key, in turn: contexts that agree before the anchor and in 20 bytes after it
+    texts = [b"x" * 30 + (b"a" if k % 2 else b"b") * 30 for k in range(8)]
+    rows, body = np.zeros(8, suffix._ENTRY), b"".join(texts) + bytes(200)
+    rows["size"], rows["lead"], rows["low"], rows["high"], rows["key"] = 60, 10, np.arange(8), np.arange(8), 5
+    assert {(r["entry"], r["low"]) for r in suffix._smallest(rows, body)} == {(k, k % 2) for k in range(2, 8)}
+    if part == "trie":
+        monkeypatch.setattr(suffix_sort.BlindTrie, "order", lambda self: [[k] for k in range(len(self.strings))])
+    else:
+        monkeypatch.setattr(suffix_sort, "multikey_quicksort", lambda flat, starts, width: (np.arange(len(starts)), np.arange(len(starts))))
+    assert len(suffix._smallest(rows, body)) == 0
 
 
 def brute(docs):
@@ -74,8 +101,10 @@ def test_against_brute_force(spark, sf, monkeypatch):
 @pytest.mark.parametrize("seed", range(4))
 def test_random(spark, seed, monkeypatch):
     monkeypatch.setattr(packs, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(packs, "UNIT_BYTES", 3000)
+    monkeypatch.setattr(suffix, "SORT_CONTEXTS", 7)
     if seed > 1:
-        monkeypatch.setattr(suffix, "HOT_PACKS", seed - 1)  # some keys, or all that two packs share
+        monkeypatch.setattr(suffix, "HOT_USES", 4 - seed)  # some keys, or all that are used twice
     rnd = random.Random(seed)
     letters = "ab" if seed % 2 else "abcdefgh é\n"
     piece = lambda n: "".join(rnd.choice(letters) for _ in range(n))
