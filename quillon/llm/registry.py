@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.chunk_dedup import chunk_dedup
+from quillon.llm.common import clear
 from quillon.llm.decontaminate import leaks
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
@@ -30,6 +31,23 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(suffix_dedup(_table(spark, sf_dir, "documents")))
 
 
+# bytes as pairs of hexadecimal digits; long texts are cut into overlapping blocks first, as a window's place is found by counting
+_OP1 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+b as (select doc_id, place, substr(h, place + 1, 1122) t from (select doc_id, h, unnest(range(0, length(h), 1024)) place from d)),
+w as (select doc_id, place // 2 + i as pos, substr(t, 2 * i + 1, 100) s from (select doc_id, place, t, unnest(range(0, (length(t) - 98) // 2)) i from b where length(t) >= 100)),
+m as (select s, min(doc_id) low from w group by s having count(*) > 1),
+g as (select doc_id, pos from w join m using (s) where low < doc_id),
+n as (select *, pos > coalesce(lag(pos) over (partition by doc_id order by pos) + 50, -1) as fresh from g),
+r as (select *, sum(fresh::int) over (partition by doc_id order by pos) run from n),
+v as (select doc_id, run, min(pos) a, max(pos) + 50 z from r group by doc_id, run),
+k as (select doc_id, h, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) from_, row_number() over (partition by doc_id order by a) i from v join d using (doc_id)),
+o as (select doc_id, sum(z - a) n_removed, count(*) n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' order by i) || substr(any_value(h), 2 * max(z) + 1) kept from k group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join o using (doc_id)
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -181,6 +199,8 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.first_id", "span.start", "span.end")
 
 
+__all__ = ["ORACLES", "QUERIES", "clear"]
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -194,6 +214,7 @@ QUERIES = {
     "op10_chunk_dedup": op10_chunk_dedup,
 }
 ORACLES = {
+    "op1_suffix_dedup": _OP1,
     "op2_near_dedup": _OP2,
     "op3_warc": _OP3,
     "op6_mixing": _OP6,
