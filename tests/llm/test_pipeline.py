@@ -5,7 +5,8 @@ import pytest
 
 import corpus_pipeline
 from quillon.llm import quality
-from tests_llm_brute import brute_leaks, brute_near, brute_targets
+from quillon.llm.mixing import SCHEDULES
+from tests_llm_brute import brute_leaks, brute_near, brute_plays, brute_quality, brute_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def test_stages(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     names = frame.columns
     model = quality.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
-    score = dict(zip(text, quality.score_texts(model, [(t or "").encode() for t in text.values()])[0]))
+    score = {i: brute_quality(model, (t or "").encode()) for i, t in text.items()}
     left = [d for d in docs if score[d[0]] >= quality.THRESHOLD]
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality classifier", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "mixing sources"]
@@ -55,13 +56,13 @@ def test_stages(spark):
     now = step("benchmark decontamination")
     last = stages["mixing sources"](spark, now, SF)
     got = last.collect()
-    sizes, taken = {}, {}
+    sizes = {}
     for _, t, s in left:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    for r in got:
-        taken[r.source] = taken.get(r.source, 0) + r.taken_words
-    target = brute_targets(sizes, [5, 2, 1])
-    assert all(abs(taken.get(s, 0) - target[s]) < 1 for s in sizes) and last.columns == [*names, "position", "taken_words"]
+    plays = brute_plays(left, brute_targets(sizes, [5, 2, 1]), SCHEDULES)
+    mine = sorted((r.doc_id, r.position, r.taken_words) for r in got)
+    assert [(i, n) for i, _, n in mine] == [(i, n) for i, _, n in sorted(plays)] and last.columns == [*names, "position", "taken_words"]
+    assert max(abs(a - b) for (_, a, _), (_, b, _) in zip(mine, sorted(plays))) < 1e-6
     assert [r.position for r in got] == sorted(r.position for r in got)
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(repr, whole)) == sorted(map(repr, got))

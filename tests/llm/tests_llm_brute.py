@@ -1,7 +1,11 @@
 """Brute-force versions that several test modules use."""
 
+import hashlib
+import math
 import re
 
+from quillon.llm import quality
+
 
 
 def shingles(t):
@@ -74,3 +78,51 @@ def brute_targets(sizes, weights, budget=1.5, epochs=2):
         left -= sum(epochs * sizes[s] for s in over)
         open_ -= over
     return target
+
+
+def brute_plays(docs, target, schedules, epochs=2):
+    """(doc_id, position, words) of every play of (doc_id, text, source): sources in hash order, times by bisection of the schedule's integral."""
+    rows = []
+    sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s))
+
+    def integral(knots, t):
+        total = 0.0
+        for (a, u), (b, v) in zip(knots, knots[1:]):
+            x = min(max(t, a), b)
+            total += (x - a) * (u + (u + (v - u) * (x - a) / (b - a))) / 2
+        return total
+
+    for turn, source in enumerate(sources):
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in docs if s == source)
+        knots, size, start = schedules[turn % len(schedules)], sum(n for *_, n in mine), 0
+        for _, i, n in mine:
+            for e in range(epochs):
+                at = start + e * size
+                taken = min(n, int(target[source]) - at)
+                if taken > 0:
+                    want, low, high = at / target[source] * integral(knots, 1.0), 0.0, 1.0
+                    for _ in range(60):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if integral(knots, mid) < want else (low, mid)
+                    rows.append((i, high, taken))
+            start += n
+    return rows
+
+
+def brute_quality(model, text):
+    """A text's score, line by line: forward and backward sums over good and bad."""
+    codes, size = quality.line_codes(text)
+    n, place = len(codes), quality.PLACE
+    own = lambda k: [int(c) + f * quality.BINS for f, c in enumerate(codes[k])] if 0 <= k < n else [place - 1] * len(quality.FEATURES)
+    score = [math.exp(sum(model.weights[c + shift * place] for shift, j in enumerate((k, k - 1, k + 1)) for c in own(j))) for k in range(n)]
+    move = [[math.exp(x) for x in row] for row in model.moves]
+    emit = [(1.0, s) for s in score]
+    ahead, behind = [None] * n, [(1.0, 1.0)] * n
+    ahead[0] = (1.0, 1.0)
+    norm = lambda p: (p[0] / sum(p), p[1] / sum(p))
+    for k in range(1, n):
+        ahead[k] = norm([sum(ahead[k - 1][a] * emit[k - 1][a] * move[a][b] for a in (0, 1)) for b in (0, 1)])
+    for k in range(n - 2, -1, -1):
+        behind[k] = norm([sum(move[a][b] * emit[k + 1][b] * behind[k + 1][b] for b in (0, 1)) for a in (0, 1)])
+    p = [norm([ahead[k][y] * emit[k][y] * behind[k][y] for y in (0, 1)])[1] for k in range(n)]
+    return sum(x * int(m) for x, m in zip(p, size)) / sum(map(int, size))
