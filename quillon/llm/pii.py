@@ -79,10 +79,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Shapes of candidates. A code ends at white space, quotes, brackets and signs that assign or part, and has a digit.
 CODE, ASSIGNED, NAME, ADDRESS = range(4)
-_TOKEN = re.compile(r"(?<![^\s\"'=:,;|<>()\[\]{}])[^0-9\s\"'=:,;|<>()\[\]{}]*+[0-9][^\s\"'=:,;|<>()\[\]{}]*+")
+_FROM_DIGIT = re.compile(r"[0-9][^\s\"'=:,;|<>()\[\]{}]*+")
+_ENDS = re.compile(r"[\s\"'=:,;|<>()\[\]{}]")
 _TRIM = ".!?#$%&*"
-_VALUE = re.compile(r"(?<![A-Za-z])(?:[Pp]ass(?:word|wd|phrase|code)|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_ -]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[\"']?\s{0,2}(?:[=:]|is)\s{0,2}[\"']?([^\s\"'=:,;|<>()\[\]{}]{4,})")
-_CAPITALS = re.compile(r"(?<!\w)[^\W\d_a-z][^\W\d_]*+(?:\.?[ ][^\W\d_a-z][^\W\d_]*+){1,3}")
+_VALUE = re.compile(r"(?:[Pp]ass(?:word|wd|phrase|code)|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_ -]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[\"']?\s{0,2}(?:[=:]|is)\s{0,2}[\"']?([^\s\"'=:,;|<>()\[\]{}]{4,})")
+_VALUE_HINTS = ("pass", "pwd", "secret", "token", "api")
+_CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
+_CAPITALS = re.compile(rf"[{_CAPITAL}][^\W\d_]*+(?:\.?[ ][{_CAPITAL}][^\W\d_]*+){{1,3}}")
 
 #: Words that people use as titles, names, kinds of street, and around them.
 _TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Dame Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Don Doña Sr Sra".split())
@@ -101,12 +104,12 @@ _NOT_NAMES = frozenset(
     Center Centre Award Prize War Act Bay House Press Committee Association Institute January February March April May June July August September October
     November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split()
 )
-_ADDRESS = re.compile(
-    rf"(?<![\w.,-])[0-9]{{1,5}}[A-Za-z]?\s(?:[^\W\d_a-z][\w'.-]*\s){{1,3}}(?:{_STREET})\b"
-    r"|(?<!\w)[^\W\d_a-z]\w*(?:straße|strasse|gasse|allee|platz|weg)\s[0-9]{1,4}[a-z]?(?!\w)"
-    r"|(?<!\w)[0-9]{1,4},?\s(?:rue|avenue|boulevard|place)\s(?:d[eu]\s|des\s|de\sla\s)?[^\W\d_a-z]\w*"
-    r"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\s(?:de\s|del\s|de\sla\s)?[^\W\d_a-z]\w*,?\s[0-9]{1,4}(?!\w)"
-)
+#: A house number before the street; a street's last part, or its first, that shows where to look.
+_NUMBER_STREET = re.compile(rf"[0-9]{{1,5}}[A-Za-z]?,?\s(?:(?:[{_CAPITAL}][\w'.-]*\s){{1,3}}(?:{_STREET})\b|(?:rue|avenue|boulevard|place)\s(?:d[eu]\s|des\s|de\sla\s)?[{_CAPITAL}]\w*)")
+_STREET_NUMBER = re.compile(r"(?:straße|strasse|gasse|allee|platz|weg)\s[0-9]{1,4}[a-z]?(?!\w)")
+_CALLE_NUMBER = re.compile(rf"(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\s(?:de\s|del\s|de\sla\s)?[{_CAPITAL}]\w*,?\s[0-9]{{1,4}}(?!\w)")
+_CALLE_HINTS = ("alle ", "venida ", "laza ", "aseo ")
+_WORD_START = re.compile(rf"[{_CAPITAL}]\w*$")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{30,}|[sp]k_(?:live|test)_\w{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}(?:\.[\w-]+)*|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -188,25 +191,61 @@ def _trimmed(token: str, a: int) -> tuple[int, int]:
     return a, a + len(inner)
 
 
+def codes(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit, from the end of the one before or a sign that ends them."""
+    free = 0
+    for m in _FROM_DIGIT.finditer(text):
+        a = m.start()
+        while a > free and not _ENDS.match(text, a - 1):
+            a -= 1
+        free = m.end()
+        yield _trimmed(text[a:free], a)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Streets with a house number."""
+    for m in _NUMBER_STREET.finditer(text):
+        if m.start() == 0 or text[m.start() - 1] not in "0123456789.,-_" and not text[m.start() - 1].isalpha():
+            yield m.span()
+    for m in _STREET_NUMBER.finditer(text):
+        start = _WORD_START.search(text, max(0, m.start() - 40), m.start())
+        if start and (start.start() == 0 or not text[start.start() - 1].isalnum()):
+            yield start.start(), m.end()
+    if any(hint in text for hint in _CALLE_HINTS):
+        yield from (m.span() for m in _CALLE_NUMBER.finditer(text))
+
+
+def names(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of capitalised words that begin with a given name or a title, or follow a word that names people follow."""
+    for m in _CAPITALS.finditer(text):
+        a = m.start()
+        if a and (text[a - 1].isalnum() or text[a - 1] == "_"):
+            continue
+        first = m[0].partition(" ")[0].rstrip(".")
+        if first in _GIVEN or first in _TITLES or _around(text, a, m.end())[2] in _PERSON_BEFORE:
+            yield m.span()
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
     """(shape, start, end) in order, of which none touches another or a span of a fixed kind; assigned values, addresses and names come before codes."""
-    found = [(ASSIGNED, *_trimmed(m[1], m.start(1))) for m in _VALUE.finditer(text)]
-    found += [(ADDRESS, m.start(), m.end()) for m in _ADDRESS.finditer(text)]
-    for m in _CAPITALS.finditer(text):
-        words = m[0].replace(".", "").split()
-        if words[0] in _GIVEN or words[0] in _TITLES or _around(text, m.start(), m.end())[2] in _PERSON_BEFORE:
-            found.append((NAME, m.start(), m.end()))
-    found += [(CODE, *_trimmed(m[0], m.start())) for m in _TOKEN.finditer(text)]
-    rank = {ASSIGNED: 0, ADDRESS: 1, NAME: 2, CODE: 3}
+    low = text.lower()
+    values = _VALUE.finditer(text) if any(hint in low for hint in _VALUE_HINTS) else ()
+    found = {
+        ASSIGNED: [_trimmed(m[1], m.start(1)) for m in values if m.start() == 0 or not text[m.start() - 1].isalpha()],
+        ADDRESS: sorted(addresses(text)),
+        NAME: list(names(text)),
+        CODE: list(codes(text)),
+    }
     busy = sorted((a, b) for _, a, b in taken)
-    for shapes in ((ASSIGNED,), (ADDRESS,), (NAME,), (CODE,)):
+    for shape, spans in found.items():
         out, k = [], 0
-        for shape, a, b in sorted((c for c in found if c[0] in shapes), key=lambda c: (c[1], rank[c[0]])):
+        for a, b in spans:
             while k < len(busy) and busy[k][1] <= a:
                 k += 1
             if a < b and not (k < len(busy) and busy[k][0] < b) and not (out and out[-1][1] > a):
                 out.append((a, b, shape))
-        busy = sorted([*busy, *out], key=lambda x: x[:2])
+        if out:
+            busy = sorted([*busy, *out], key=lambda x: x[:2])
     return [(x[2], x[0], x[1]) for x in busy if len(x) == 3]
 
 
