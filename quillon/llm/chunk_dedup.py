@@ -185,7 +185,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield part, pack, rows[a:b].tobytes()
 
     masked = packs.join(found, "pack").select("pack", "ids", "sizes", "body", "found")
-    results = asked(masked, pieces_of, 1, _lowest, 1).withColumnRenamed("found", "results")
+    results = asked(masked, ranges, pieces_of, 1, _lowest, 1).withColumnRenamed("found", "results")
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,12 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _made[-1]
 
 
-#: Folders that this process has made.
+#: Folders that this process has made, and tables over some of them.
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that the operators have written for this process; for the end of a job, as results that are still to be read may need it."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -74,6 +77,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as :func:`written`, in as many buckets by ``key`` as there are shuffle partitions, so that joins by it leave them where they are."""
+    spark = df.sparkSession
+    _tables.append(f"quillon_{uuid.uuid4().hex}")
+    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/table")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(_tables[-1])
+    return spark.table(_tables[-1])
+
+
 def row_hash(docs: DataFrame, *without: str) -> Column:
     """A hash of a row, for an order among rows that are alike otherwise; maps, which Spark does not hash, are left out."""
     return F.xxhash64(*(named(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.name not in without))

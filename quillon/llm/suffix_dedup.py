@@ -341,7 +341,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield part, pack, e.rows[a:b].tobytes(), pa.compress(e.texts(a, b), codec="zstd", asbytes=True)
 
     masked = packs.select("pack", "ids", "sizes", "body").join(found, "pack").select("pack", "ids", "sizes", "body", "found")
-    results = asked(masked, pieces_of, 2, _sorted, 1).withColumnRenamed("found", "results")
+    results = asked(masked, ranges, pieces_of, 2, _sorted, 1).withColumnRenamed("found", "results")
     release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
