@@ -387,7 +387,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, of repeated rows one.
 
-    Documents without words are in no component and stay.
+    Documents that are alone are not shuffled. Null and empty texts are in no
+    component and stay; a null id is larger than any other; an empty table gives
+    an empty result.
     """
     rows = written(_grouped(docs, id_col, text_col, percent))
     groups = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
