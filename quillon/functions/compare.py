@@ -1,4 +1,4 @@
-"""Typed comparisons, checked when the plan is built."""
+"""Typed comparisons, checked when the plan is built; and a loose one, by what values look like."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.render import render_double
+
 _COMPARE = {
     "=": lambda a, b: a == b,
     "<>": lambda a, b: a != b,
@@ -50,3 +52,16 @@ def comparison_with_literal(op: str, left: Column, kind: T.DataType, value: str
         datetime.fromisoformat(value)
         return _COMPARE[op](left, F.lit(value).cast(kind))
     raise TypeError(f"cannot compare {kind.simpleString()} with {value!r}")
+
+
+def as_text(column: Column, kind: T.DataType) -> Column:
+    """A value as the text protocol shows it."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return render_double(column.cast("double"))
+    return column.cast("string")
+
+
+def loose_comparison(op: str, left: Column, right: Column) -> Column:
+    """Two texts: as numbers where both read as numbers, else as texts. Nothing of it can be pushed to a scan or become a join key."""
+    a, b = left.try_cast("double"), right.try_cast("double")
+    return F.when(a.isNotNull() & b.isNotNull(), _COMPARE[op](a, b)).otherwise(_COMPARE[op](left, right))

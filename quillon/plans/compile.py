@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.compare import comparison, comparison_with_literal
+from quillon.functions.compare import as_text, comparison, comparison_with_literal, loose_comparison
 from quillon.operators.ir import Cross, Filter, Predicate, Project, Query, Ref, Scan, Sort
 from quillon.plans.resolve import Field, resolve
 from quillon.sources.catalog import Catalog
@@ -38,8 +38,11 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _condition(p: Predicate, fields: list[Field]) -> Column:
+def _condition(p: Predicate, fields: list[Field], loose: bool) -> Column:
     left = resolve(p.column, fields)
+    if loose:
+        right = resolve(p.value.name, fields) if isinstance(p.value, Ref) else None
+        return loose_comparison(p.op, as_text(left.column, left.kind), as_text(right.column, right.kind) if right else F.lit(str(p.value)))
     if isinstance(p.value, Ref):
         right = resolve(p.value.name, fields)
         return comparison(p.op, left.column, left.kind, right.column, right.kind)
@@ -73,8 +76,8 @@ def _all_projected(q: Query) -> bool:
 
 
 class _Compiler:
-    def __init__(self, catalog: Catalog, columns: set[str] | None, join: str | None, most_pairs: int | None):
-        self._catalog, self._columns, self._join, self._most_pairs, self._next = catalog, columns, join, most_pairs, count()
+    def __init__(self, catalog: Catalog, columns: set[str] | None, join: str | None, most_pairs: int | None, loose: bool):
+        self._catalog, self._columns, self._join, self._most_pairs, self._loose, self._next = catalog, columns, join, most_pairs, loose, count()
         self._tables: dict[str, int] = {}  # id to number of its scan
         self._links: list[tuple[str, str]] = []  # ids that predicates compare with each other
         self._literals: list[tuple[str, Column]] = []  # id and condition of other predicates
@@ -97,8 +100,8 @@ class _Compiler:
             if isinstance(p.value, Ref):
                 self._links.append((left, resolve(p.value.name, fields).id))
             else:
-                self._literals.append((left, _condition(p, fields)))
-        return (df.where(reduce(and_, (_condition(p, fields) for p in q.predicates))) if q.predicates else df), fields
+                self._literals.append((left, _condition(p, fields, self._loose)))
+        return (df.where(reduce(and_, (_condition(p, fields, self._loose) for p in q.predicates))) if q.predicates else df), fields
 
     def _project(self, q: Project) -> tuple[DataFrame, list[Field]]:
         if not q.columns:
@@ -138,17 +141,18 @@ class _Compiler:
                 raise CrossTooLarge(f"a product of {rows[0]} and {rows[1]} rows that no predicate joins; at most {self._most_pairs} pairs are allowed")
 
 
-def compile_query(query: Query, catalog: Catalog, qualified: bool = False, join: str | None = None, most_pairs: int | None = MOST_PAIRS) -> DataFrame:
+def compile_query(query: Query, catalog: Catalog, qualified: bool = False, join: str | None = None, most_pairs: int | None = MOST_PAIRS, loose: bool = False) -> DataFrame:
     """The DataFrame of a query.
 
     Output columns drop their table part where the rest is unique; with
     ``qualified`` they keep it. ``join`` is one of JOINS, for all joins of the
     query. A Cross that no predicate joins is counted, and is an error where it
-    has over ``most_pairs`` pairs; None allows any.
+    has over ``most_pairs`` pairs; None allows any. With ``loose``, values of any
+    types compare: as numbers where both look like numbers, else as texts.
     """
     if join is not None and join not in JOINS:
         raise ValueError(f"unknown way to join {join!r}; known: {', '.join(JOINS)}")
-    compiler = _Compiler(catalog, _named_columns(query) if _all_projected(query) else None, join, most_pairs)
+    compiler = _Compiler(catalog, _named_columns(query) if _all_projected(query) else None, join, most_pairs, loose)
     df, fields = compiler.visit(query)
     if most_pairs is not None:
         compiler.check_products()

@@ -81,6 +81,10 @@ LIBRARY: dict[str, tuple[Query, str]] = {
     "join_int32_int64": (pick(where(cross(_S("supplier"), _S("nation")), eq("s_suppkey", "n_nationkey")), "s_name", "n_name"), "select s_name, n_name from supplier, nation where s_suppkey=n_nationkey"),
     "filter_int32_double": (where(_S("lineitem"), P("l_linenumber", ">=", Ref("l_quantity"))), "select * from lineitem where l_linenumber>=l_quantity"),
     "filter_int64_double": (where(_S("orders"), P("o_custkey", ">", Ref("o_totalprice"))), "select * from orders where o_custkey>o_totalprice"),
+    "filter_text_number_loose": (
+        where(_S("orders"), P("o_orderpriority", ">=", 3), P("o_orderkey", "<", "1000")),
+        "select * from orders where coalesce(try_cast(o_orderpriority as double) >= 3, o_orderpriority >= '3') and o_orderkey < 1000",
+    ),
     "join_sort_merge": (
         pick(where(cross(_S("customer"), _S("orders")), eq("c_custkey", "o_custkey"), P("o_orderpriority", "=", "1-URGENT")), "c_name", "o_orderkey", "o_totalprice"),
         "select c_name, o_orderkey, o_totalprice from customer, orders where c_custkey=o_custkey and o_orderpriority='1-URGENT'",
@@ -138,5 +142,5 @@ LIBRARY: dict[str, tuple[Query, str]] = {
     "sort_then_project": (pick(Sort(_S("supplier"), (SortKey("s_acctbal", False),)), "s_name"), "select s_name from supplier order by s_acctbal desc"),
 }
 
-#: How :func:`quillon.plans.compile.compile_query` is to join some of them, so that each strategy is run on tables of any size.
-OPTIONS: dict[str, dict] = {"join_sort_merge": {"join": "merge"}, "join_shuffle_hash": {"join": "shuffle_hash"}, "join_skewed_keys": {"join": "merge"}}
+#: What :func:`quillon.plans.compile.compile_query` is told for some of them: how to join, so that each strategy is run on tables of any size, and how to compare.
+OPTIONS: dict[str, dict] = {"join_sort_merge": {"join": "merge"}, "join_shuffle_hash": {"join": "shuffle_hash"}, "join_skewed_keys": {"join": "merge"}, "filter_text_number_loose": {"loose": True}}

@@ -102,6 +102,13 @@ def test_types(spark):
         P("s", "like", "x")
 
 
+def test_loose_comparison(spark):
+    c = tables(spark, t=([("10", 9, 1.5), ("x", 10, 10.0), ("1e1", 11, None)], "s string, n int, d double"))
+    got = lambda *p: sorted(r.n for r in compile_query(Filter(Scan("t"), p), c, loose=True).collect())
+    assert got(P("s", "=", 10)) == [9, 11] and got(P("s", ">", Ref("n"))) == [9, 10]  # "x" > "10" as texts
+    assert got(P("n", ">=", "10")) == [10, 11] and got(P("d", "=", "10.0")) == [10] and got(P("n", "<", "a")) == [9, 10, 11]
+
+
 def test_long_strings_and_nulls(spark):
     c = tables(spark, t=([("x" * 200_000, None), (None, 1)], "s string, n int"))
     assert compile_query(Filter(Scan("t"), (P("s", "=", "x" * 200_000),)), c).count() == 1
@@ -183,7 +190,7 @@ def test_statistics_reach_catalyst_without_a_cache(spark):
         for name, rows in (("nation", 25), ("region", 123_456)):
             stats = c.table(name)._jdf.queryExecution().optimizedPlan().stats()
             assert int(stats.rowCount().get()) == rows and stats.attributeStats().nonEmpty()
-            assert "InMemory" not in plan_of(c.table(name))
+            assert "InMemoryRelation" not in plan_of(c.table(name))
         some = compile_query(Filter(Scan("region"), (P("r_regionkey", "=", 2),)), c)
         assert int(some._jdf.queryExecution().optimizedPlan().stats().rowCount().get()) == -(-123_456 // 5)
     finally:
