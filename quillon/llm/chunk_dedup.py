@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, unmask
+from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, repeated_keys, rows_of, unmask
 
 #: A cut where the hash has so many leading zero bits: every 32 bytes on average, but no chunk under LEAST bytes (a document's last excepted) or over MOST.
 ZERO_BITS, LEAST, MOST = 5, 32, 256
@@ -172,11 +172,9 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows of one id remove nothing from each other. An empty table gives an
     empty result; further columns are ignored.
     """
-    spark = docs.sparkSession
     packs = pack_documents(docs, id_col, text_col)
     ranges = range_count(packs)
     found = repeated_keys(packs, ranges, chunk_keys)
-    release(spark)
 
     def pieces_of(pack: int, ids: list, sizes: list, body: bytes, masks: list[dict]) -> Iterator[tuple]:
         _, _, rows = entries(Pack(ids, sizes, body), ranges, masks)
@@ -186,7 +184,6 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     masked = packs.join(found, "pack").select("pack", "ids", "sizes", "body", "found")
     results = asked(masked, ranges, pieces_of, 1, _lowest, 1).withColumnRenamed("found", "results")
-    release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, body, masks, lows in rows_of(batches):

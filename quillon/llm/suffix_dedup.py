@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, release, repeated_keys, rows_of, unmask
+from quillon.llm.packs import Pack, asked, pack_documents, range_bounds, range_count, repeated_keys, rows_of, unmask
 from quillon.llm.suffix_sort import deep_shallow
 
 #: Fixed by the contract.
@@ -328,11 +328,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of one id remove nothing from each other. Texts shorter than WIDTH stay
     whole. An empty table gives an empty result; further columns are ignored.
     """
-    spark = docs.sparkSession
     packs = pack_documents(docs, id_col, text_col)
     ranges = range_count(packs)
     found = repeated_keys(packs, ranges, anchor_keys, HOT_USES)
-    release(spark)
 
     def pieces_of(pack: int, ids: list, sizes: list, body: bytes, masks: list[dict]) -> Iterator[tuple]:
         e = Entries(Pack(ids, sizes, body), ranges, masks)
@@ -342,7 +340,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     masked = packs.select("pack", "ids", "sizes", "body").join(found, "pack").select("pack", "ids", "sizes", "body", "found")
     results = asked(masked, ranges, pieces_of, 2, _sorted, 1).withColumnRenamed("found", "results")
-    release(spark)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, body, masks, results_ in rows_of(batches):
